@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, sharding, simhash
+from . import decontaminate, html, langid, mixing, quality, secrets, sharding, simhash, toxicity, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -18,6 +26,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -33,14 +53,33 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
+        "op2_html": op2_html,
         "op3_simhash": op3_simhash,
         "op4_sharding": op4_sharding,
+        "op5_langid": op5_langid,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_secrets": op10_secrets,
     }
 
 
+WARC = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), d as (
+  select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest from p
+), f as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as first from d
+)
+select page_id, payload_bytes, payload_digest,
+       case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+       case when page_id is distinct from first then first end as refers_to
+from f
+"""
+
 #: Mixing: the rate of each source, and per rate the distribution function,
 #: whose values not above a row's number count its copies. The rates of these
 #: tables stay under 8, so that one part draws each.
@@ -110,4 +149,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality": QUALITY, "op9_mixing": MIXING}
+    return {"op1_warc": WARC, "op8_quality": QUALITY, "op9_mixing": MIXING}
