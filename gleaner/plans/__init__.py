@@ -1 +1,14 @@
-"""The plans of gleaner."""
+"""Queries over the driver's tables: name -> (function, SQL or None)."""
+
+from __future__ import annotations
+
+from . import retrieval
+
+MODULES = (retrieval,)
+
+
+def catalogue() -> dict:
+    out: dict = {}
+    for module in MODULES:
+        out |= module.QUERIES
+    return out
