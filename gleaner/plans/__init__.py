@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import evaluation, relational, retrieval, similarity
 
-MODULES = (retrieval,)
+MODULES = (retrieval, similarity, evaluation, relational)
 
 
 def catalogue() -> dict:
