@@ -68,7 +68,10 @@ def bag(tokens: Column) -> Column:
 
 def weighted_bag(parts: list[tuple[Column, int]]) -> Column:
     """token -> summed weight over (tokens, weight): what repeating tokens in a text amounts to."""
-    bags = [F.map_from_entries(F.transform(F.map_entries(bag(t)), lambda e, w=w: F.struct(e["key"], e["value"] * w))) for t, w in parts]
+    def times(tokens: Column, weight: int) -> Column:
+        return F.transform_values(bag(tokens), lambda _, n: n * weight)
+
+    bags = [times(t, w) for t, w in parts]
     out = bags[0]
     for more in bags[1:]:
         out = F.map_zip_with(out, more, lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
@@ -85,12 +88,11 @@ def by_family_weight(token: Column, weights: Mapping[str, float], default: float
 
 def suffixes(tokens: Column, *prefixes: str) -> Column:
     """What follows a prefix, of the tokens that start with one, in upper case and in order."""
-    out = F.array().cast("array<string>")
-    for p in prefixes:
-        out = F.concat(
-            out, F.transform(F.filter(tokens, lambda t, p=p: t.startswith(p)), lambda t, p=p: F.upper(F.substring(t, len(p) + 1, 10_000)))
-        )
-    return out
+    def after(prefix: str) -> Column:
+        own = F.filter(tokens, lambda t: t.startswith(prefix))
+        return F.transform(own, lambda t: F.upper(F.substring(t, len(prefix) + 1, 10_000)))
+
+    return F.concat(*[after(p) for p in prefixes])
 
 
 def has_prefix(tokens: Column, *prefixes: str) -> Column:

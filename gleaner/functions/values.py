@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 CLIPS = {"delta": (None, 10_000), "cp": (-2000, 2000), "rating": (500, 3500), "time": (30, 7200)}
 
 # Fixed ordinals of playing speeds; anything else is 0.
-SPEEDS = {"ultraBullet": 1, "bullet": 2, "blitz": 3, "rapid": 4, "classical": 5}
+SPEEDS = {"bullet": 1, "blitz": 2, "rapid": 3, "classical": 4, "correspondence": 5}
 
 
 def clipped(x: Column, low: float | None = None, high: float | None = None) -> Column:

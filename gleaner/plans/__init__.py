@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, relational, retrieval, similarity
+from . import boards, evaluation, learning, puzzles, relational, retrieval, similarity
 
-MODULES = (retrieval, similarity, evaluation, relational)
+MODULES = (retrieval, similarity, evaluation, relational, boards, learning, puzzles)
 
 
 def catalogue() -> dict:
