@@ -54,6 +54,17 @@ def hinted(small: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
 
 
+def sampled(rows: DataFrame, total: int, n: int, *key: str) -> DataFrame:
+    """At most ``n`` of ``rows``, which are at most ``total``, by the hash of ``key``.
+
+    Only rows whose hash falls in a share of about 4 * n / ``total`` are
+    ordered, so what tasks and driver hold doesn't grow with the table.
+    """
+    share = max(1, total // (4 * n))
+    hashed = F.xxhash64(F.lit(7), *key)
+    return rows.filter(F.pmod(hashed, F.lit(share)) == 0).orderBy(F.xxhash64(*key), *key).limit(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, sampled
 
 #: Units in each direction, and bytes of a segment.
 UNITS, LENGTH = 10, 64
@@ -235,12 +235,9 @@ def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
     """Bounded labelled texts of the learning fold, by hashed id."""
     text = F.col(text_col).cast("binary")
-    rows = (
-        docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col) & (F.octet_length(text) <= SAMPLE_BYTES) & (F.octet_length(text) > 0))
-        .select(F.xxhash64(id_col).alias("h"), F.col(id_col).cast("string").alias("i"), text.alias("t"), F.col(lang_col).alias("y"))
-        .orderBy("h", "i", "t")
-        .limit(SAMPLE_TEXTS)
-    )
+    usable = F.col(lang_col).isNotNull() & ~held_out(id_col) & (F.octet_length(text) <= SAMPLE_BYTES) & (F.octet_length(text) > 0)
+    known = docs.filter(usable).select(F.col(id_col).cast("string").alias("i"), text.alias("t"), F.col(lang_col).alias("y"))
+    rows = sampled(known, docs.count(), SAMPLE_TEXTS, "i", "t")
     return [(bytes(r.t), r.y) for r in rows.collect()]
 
 
