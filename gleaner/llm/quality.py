@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Rows on which costs and rejections are measured, and the longest text there.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 50_000
 
@@ -154,13 +156,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    sample = (
-        rows.filter(F.length("__text") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .select("__text")
-        .limit(SAMPLE_ROWS)
-    )
-    order = [name for name, _, _ in plan([r[0] for r in sample.collect()])]
+    sample = sampled(rows.filter(F.length("__text") <= SAMPLE_CHARS), docs.count(), SAMPLE_ROWS, "doc_id", "__text")
+    order = [name for name, _, _ in plan([r[1] for r in sample.collect()])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
