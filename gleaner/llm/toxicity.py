@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, held_out
+from .common import durable, held_out, sampled
 
 #: Bounds of the sample that the model is fitted on: labelled texts of each
 #: class, by hashed id, of at most so many bytes. The driver holds 48 MB of it.
@@ -229,10 +229,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("__id"))
         .agg(F.max("toxic").alias("__toxic"))
     )
-    both = [
-        known.filter(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
-        for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
-    ]
+    known = durable(known)
+    there = dict(known.groupBy("__toxic").count().collect())
+    both = [sampled(known.filter(F.col("__toxic") == y), there.get(y, 0), n, "__id") for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows, hence safe to broadcast.
     chosen = F.broadcast(durable(both[0].unionByName(both[1])))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(
