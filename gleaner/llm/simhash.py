@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, hinted, written
+from .common import durable, hinted, sampled, written
 from .graph import components
 
 BITS = 64
@@ -33,10 +33,10 @@ LINK = 3
 BLOCK = 1 << 18
 
 #: Fingerprints meant for one shard, and the most shards there are.
-SHARD_ROWS, MAX_SHARDS = 1 << 14, 4096
+SHARD_ROWS, MAX_SHARDS = 1 << 12, 16384
 
 #: Fingerprints per shard on which the shards' tree is fitted.
-SAMPLE_PER_SHARD = 32
+SAMPLE_PER_SHARD = 128
 
 #: Sets up to this size are compared whole.
 LEAF = 512
@@ -217,8 +217,8 @@ def links(distinct: DataFrame, link: int = LINK) -> DataFrame:
     """Edges (a, b) between the distinct long ``fp``, enough to connect what links: no two in a class within a shard but the first."""
     n = distinct.count()
     shards = int(min(MAX_SHARDS, max(1, 2 ** int(np.ceil(np.log2(max(1, n / SHARD_ROWS)))))))
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(shards * SAMPLE_PER_SHARD * 4)
-    tree = fit(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), shards * 4, link)
+    sample = sampled(distinct.select("fp"), n, shards * SAMPLE_PER_SHARD, "fp")
+    tree = fit(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), shards, link)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
