@@ -270,27 +270,24 @@ def _hex(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component; its repeated rows count as one.
+    """``docs`` with one row of each component: the smallest id's.
 
-    Rows without an id are told apart by fingerprint alone: one stays of a
-    component that has no id.
+    Ids that repeat, or are null, don't tell rows apart; these rows are told
+    apart by id and fingerprint. A component without any id keeps a row too.
     """
     found = written(near_duplicates(docs, id_col, text_col))
-    spare = durable(found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct())
-    repeats = durable(found.filter("doc_id <=> component_id").groupBy("doc_id").count().filter("count > 1"))
-    gone = hinted(spare.select(F.col("doc_id").alias("__gone")), spare.count(), 16)
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    if not repeats.isEmpty() or not found.filter("doc_id is null").isEmpty():
-        again = hinted(repeats.select(F.col("doc_id").alias("__again")), repeats.count(), 16)
-        single = kept.filter(F.col(id_col).isNotNull()).join(again, F.col(id_col) == F.col("__again"), "left_anti")
-        several = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
-        kept = single.unionByName(several).unionByName(_without_id(docs, found, id_col, text_col))
-    return kept
-
-
-def _without_id(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of the rows without an id, one of each component that has no id."""
-    bare = found.filter("doc_id is null and component_id is null and fingerprint = class_fingerprint").select("fingerprint").distinct()
+    repeats = durable(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
+    again = hinted(repeats, repeats.count(), 16)
+    spare = durable(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = hinted(spare, spare.count(), 16)
+    plain = docs.filter(F.col(id_col).isNotNull()).join(again, F.col(id_col) == F.col("__again"), "left_anti")
+    kept = plain.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    if repeats.isEmpty() and found.filter("doc_id is null").isEmpty():
+        return kept
+    chosen = found.filter("doc_id <=> component_id").groupBy("class_fingerprint").agg(F.min(F.struct("fingerprint", "doc_id")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.fingerprint").alias("__of"))
     simhash = F.udf(lambda t: format(fingerprint(None if t is None else t.encode()) & (2**BITS - 1), f"0{BITS // 4}x"))
-    rows = docs.filter(F.col(id_col).isNull()).withColumn("__fp", simhash(F.col(text_col)))
-    return rows.join(bare, F.col("__fp") == F.col("fingerprint"), "left_semi").dropDuplicates(["__fp"]).drop("__fp")
+    alike = docs.join(again, F.col(id_col) == F.col("__again"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    alike = alike.withColumn("__fp", simhash(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of"))
+    return kept.unionByName(alike.join(chosen, same, "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp"))
