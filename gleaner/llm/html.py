@@ -3,8 +3,9 @@
 A page is a sequence of tokens: words, which score positive outside of
 boilerplate, and tags, which score negative. The weights are log-odds learned
 from labelled pages. One linear scan finds the contiguous run of the highest
-score; it is widened to the element that holds it, and blocks of that element
-which stand in menus, notices, adverts, forms or comments are left out.
+score; it is widened to the element that holds it. Blocks of that element which
+stand in menus, notices, adverts, forms or comments are left out, and outside
+of the run those that are mostly links.
 """
 
 from __future__ import annotations
@@ -239,11 +240,20 @@ def extract(page: str | None, weights: Mapping[str, float]) -> str:
     # A run that lies in one paragraph is widened to the paragraph's parent.
     if len(path) > 1 and all(x.path == path for x in core):
         path = path[:-1]
-    blocks: dict[int, list[str]] = {}
+    blocks: dict[int, list[Piece]] = {}
+    within = {x.block for x in core}
     for x in found:
         if x is not None and x.kind != "boiler" and x.path[: len(path)] == path:
-            blocks.setdefault(x.block, []).append(x.text)
-    return " ".join(t for t in (" ".join("".join(b).split()) for b in blocks.values()) if t)
+            blocks.setdefault(x.block, []).append(x)
+    kept = (b for n, b in blocks.items() if n in within or not _mostly_links(b))
+    return " ".join(t for b in kept if (t := " ".join("".join(x.text for x in b).split())))
+
+
+def _mostly_links(block: list[Piece]) -> bool:
+    words = Counter()
+    for x in block:
+        words[x.kind] += len(x.text.split())
+    return words["link"] > words["word"]
 
 
 def extracted(
