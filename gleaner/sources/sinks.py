@@ -69,16 +69,16 @@ def metadata_rows(df: DataFrame) -> DataFrame:
 
 
 def game_text(headers: Mapping[str, Column], san: Column, black_first: Column, result: Column, fen: Column | None = None) -> Column:
-    """A game in PGN: headers, a line of numbered moves, the result."""
+    """A game in PGN: headers, a line of numbered moves, the result. As a line of text it is followed by an empty one."""
     tags = dict(headers) | ({"SetUp": F.lit("1"), "FEN": fen} if fen is not None else {})
     lines = [F.concat(F.lit(f'[{n} "'), F.replace(F.coalesce(c.cast("string"), F.lit("?")), F.lit('"'), F.lit("'")), F.lit('"]')) for n, c in tags.items()]
     moves = F.concat_ws(" ", F.translate(numbered_line(san, black_first), "♔♕♖♗♘", "KQRBN"), result)
-    return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), moves, F.lit("\n\n"))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), moves, F.lit("\n"))
 
 
 def packs(games: DataFrame, path: str, query: str = "qid", order: str = "rank", text: str = "pgn") -> None:
     """One game per query and hit, queries together and hits in order."""
-    games.repartitionByRange(F.col(query)).sortWithinPartitions(query, order).select(text).write.mode("overwrite").text(path, lineSep="")
+    games.repartitionByRange(F.col(query)).sortWithinPartitions(query, order).select(text).write.mode("overwrite").text(path)
 
 
 def save_model(model: PipelineModel, path: str, metadata: Mapping[str, object]) -> None:
