@@ -7,6 +7,7 @@ it. The order changes the work alone: a text is kept if no rule rejects it.
 
 from __future__ import annotations
 
+import operator
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -115,7 +116,8 @@ def _odd_lines(t: Text) -> bool:
 RULES: dict[str, Callable[[Text], bool]] = {
     "symbols": lambda t: 10 * t.n_symbols > 3 * len(t.words),
     "word_length": lambda t: not 2 * len(t.words) <= t.word_chars <= 15 * len(t.words),
-    "dup_lines": lambda t: 100 * t.n_dup_lines > 30 * t.n_lines,
+    "dup_lines": lambda t: t.n_dup_lines > 2 and 100 * t.n_dup_lines > 30 * t.n_lines,
+    "word_runs": lambda t: 10 * sum(map(operator.eq, t.words, t.words[1:])) > 3 * len(t.words),
     "few_letters": _few_letters,
     "odd_lines": _odd_lines,
 }

@@ -137,7 +137,8 @@ with d as (
   select *, case when base_failed then 'base'
     when 10 * n_symbols > 3 * n_words then 'symbols'
     when not (word_chars between 2 * n_words and 15 * n_words) then 'word_length'
-    when 100 * n_dup_lines > 30 * n_lines then 'dup_lines'
+    when n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines then 'dup_lines'
+    when 10 * len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) > 3 * n_words then 'word_runs'
     when 10 * n_letter_words < 7 * n_words then 'few_letters'
     when 10 * len(list_filter(full_lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * n_lines
       or 10 * len(list_filter(full_lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(•|- |\* )'))) > 9 * n_lines then 'odd_lines'
@@ -148,5 +149,50 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _either_case(words: str) -> str:
+    """ASCII letters in either case, whatever else the engine folds."""
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in words)
+
+
+def _secrets_sql() -> str:
+    """Places follow from the text between matches; entropies from the characters of each window."""
+    assign = _either_case("password|passwd|secret|token|api_?key")
+    kinds = [
+        (0, "assign", f"""({assign})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", f"length(regexp_extract(hit, '^({assign})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 2)) >= 8"),
+        (1, "access", "AKIA[A-Z0-9]+", "length(hit) >= 16"),
+        (2, "hex", "[0-9a-f]+", "length(hit) >= 32"),
+    ]
+    for n, c in enumerate(secrets.CLASSES):
+        tests = [f"regexp_matches(hit, '{m}')" for m in c.must] + [f"not regexp_matches(hit, '{a}')" for a in secrets.ALLOWED]
+        kinds.append((3 + n, c.kind, f"{c.alphabet}{{{secrets.WINDOW},}}", " and ".join(tests)))
+
+    def placed(rank: int, pattern: str, test: str) -> str:
+        return f"""select rid, {rank} as rank, hit, upto - length(hit) as start, upto as stop from (
+  select rid, hit, sum(length(gap) + length(hit)) over (partition by rid order by pos) as upto from (
+    select rid, unnest(string_split_regex(text, '{pattern}')) as gap, unnest(regexp_extract_all(text, '{pattern}')) as hit,
+           generate_subscripts(string_split_regex(text, '{pattern}'), 1) as pos from d) where hit is not null) where {test}"""
+
+    w = secrets.WINDOW
+    least = ", ".join(f"({3 + n}, {c.threshold})" for n, c in enumerate(secrets.CLASSES))
+    names = "['" + "', '".join(secrets.KINDS) + "']"
+    text = f"(({names})[rank + 1] || ':' || start || ':' || stop)"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+base as ({" union all ".join(placed(r, p, t) for r, _, p, t in kinds[:3])}),
+cand as (select row_number() over () as cid, * from ({" union all ".join(placed(r, p, t) for r, _, p, t in kinds[3:])})),
+win as (select cid, i, unnest(string_split(substr(hit, i, {w}), '')) as c from (select cid, hit, unnest(range(1, length(hit) - {w - 2})) as i from cand)),
+ent as (select cid, i, log2({w}) - sum(n * log2(n)) / {w}.0::double as bits from (select cid, i, c, count(*) as n from win group by all) group by all),
+good as (select cand.cid, i, case when i - lag(i) over (partition by cand.cid order by i) <= {w} then 0 else 1 end as new
+  from ent join cand using (cid) join (values {least}) as t(rank, least) using (rank) where bits >= least - 1e-9),
+runs as (select cid, min(i) as a, max(i) as b from (select cid, i, sum(new) over (partition by cid order by i) as run from good) group by cid, run),
+more as (select rid, rank, start + a - 1 as start, start + b - 1 + {w} as stop from runs join cand using (cid)),
+apart as (select * from more m where not exists (select 1 from base b where b.rid = m.rid and b.start < m.stop and m.start < b.stop)),
+every as (select rid, rank, start, stop, true as own from base union all select *, false from apart)
+select doc_id, count(*) filter (own and rank = 0) as n_assign, count(*) filter (own and rank = 1) as n_access, count(*) filter (own and rank = 2) as n_hex,
+  sha256(coalesce(string_agg({text}, ',' order by start, rank, stop) filter (own), '')) as base_sha256, coalesce(string_agg({text}, ',' order by start, rank, stop), '') as spans
+from d left join every using (rid) group by rid, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC, "op8_quality": QUALITY, "op9_mixing": MIXING}
+    return {"op1_warc": WARC, "op8_quality": QUALITY, "op9_mixing": MIXING, "op10_secrets": _secrets_sql()}

@@ -74,3 +74,19 @@ def test_edges(edge_docs, no_docs):
     rows = secrets.scanned(edge_docs).collect()
     assert len(rows) == edge_docs.count() and all(r.spans == "" for r in rows)
     assert secrets.scanned(no_docs).count() == 0
+
+
+def test_sql_twin_equals_plain_version():
+    import duckdb
+    import pandas as pd
+
+    from gleaner.llm import queries
+
+    rng = random.Random(6)
+    texts = [random_text(rng).replace("ſ", "s") for _ in range(400)] + ["", None]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    rel = con.sql(queries.oracle_sql()["op10_secrets"])
+    got = {r[0]: r[1:] for r in rel.fetchall()}
+    assert rel.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
