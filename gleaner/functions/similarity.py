@@ -48,8 +48,12 @@ def letters(text: Column) -> Column:
 FIRST, ALPHABET = 0x4E00, 20_000
 
 
-def _coded(items: Column, names: Column, alphabet: Column) -> Column:
-    return F.array_join(F.transform(items, lambda x: F.substring(alphabet, F.array_position(names, x).cast("int"), F.lit(1))), "")
+def _coded(items: Column, names: Column) -> Column:
+    """Each element as the character whose code point follows from its place among ``names``."""
+    def character(x: Column) -> Column:
+        return F.decode(F.unhex(F.hex(F.array_position(names, x) + (FIRST - 1))), "UTF-16BE")
+
+    return F.array_join(F.transform(items, character), "")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -60,8 +64,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
     no character: the result is null.
     """
     names = F.array_distinct(F.concat(a, b))
-    alphabet = F.lit("".join(chr(FIRST + k) for k in range(ALPHABET)))
-    edits = F.levenshtein(_coded(a, names, alphabet), _coded(b, names, alphabet))
+    edits = F.levenshtein(_coded(a, names), _coded(b, names))
     longer = F.greatest(F.size(a), F.size(b))
     return (
         F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))

@@ -132,15 +132,33 @@ def signature(actions: Column) -> Column:
 
 
 def profile(r: Column, families: tuple[str, ...] = tx.FAMILIES) -> Column:
-    """What features need of one record, as a struct."""
-    tokens, stats = F.concat(r["static"], r["dynamic"]), r["stats"]
-    lined = F.array_distinct(F.filter(tokens, lambda t: t.startswith("pv:") | t.startswith("dyn:") | t.startswith("sum:")))
-    actions = F.coalesce(stats["actions"], F.array().cast("array<string>"))
+    """What features need of one record, as a struct.
+
+    Tokens are told apart by family once; what is read several times is bound
+    to a lambda's variable, so that the expression stays small.
+    """
+    tokens = F.concat(r["static"], r["dynamic"])
+    told = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("t"), tx.family(t).alias("f")))
+    base = F.struct(
+        told.alias("told"), r["dynamic"].alias("dynamic"), r["solution_uci"].alias("solution_uci"), r["stats"].alias("stats"), r["turn"].alias("turn"),
+        r["fen"].alias("fen"), r["pockets"].alias("pockets"), r["mate"].alias("mate"), r["rating"].alias("rating"),
+        F.coalesce(r["stats"]["actions"], F.array().cast("array<string>")).alias("actions"),
+    )
+    lined = F.struct(base.alias("r"), F.transform(F.filter(base["told"], lambda e: e["f"].isin("pv", "dyn", "sum")), lambda e: e["t"]).alias("lined"))
+    return F.transform(F.array(lined), lambda x: _profile(x["r"], x["lined"], families))[0]
+
+
+def _profile(r: Column, lined: Column, families: tuple[str, ...]) -> Column:
+    stats, actions = r["stats"], r["actions"]
     last = F.coalesce(F.when(F.size(actions) > 0, F.element_at(actions, -1)), F.lit(""))
     own = F.when(fn.turn(r["turn"]) == "white", fn.pocket_letters(r["fen"], True)).otherwise(fn.pocket_letters(r["fen"], False))
     empty_int, empty_text = F.array().cast("array<int>"), F.array().cast("array<string>")
-    out = {f"fam_{name}": tx.of_family(tokens, name) for name in families} | {
-        "all": F.array_distinct(tokens), "uci": r["solution_uci"], "mating": mating_piece(lined), "first": first_action(lined), "drops": drop_pieces(lined),
+
+    def of(name: str) -> Column:
+        return F.transform(F.filter(r["told"], lambda e: e["f"] == name), lambda e: e["t"])
+
+    out = {f"fam_{name}": of(name) for name in families} | {
+        "all": F.transform(r["told"], lambda e: e["t"]), "uci": r["solution_uci"], "mating": mating_piece(lined), "first": first_action(lined), "drops": drop_pieces(lined),
         "captured": tx.suffixes(lined, "pv:capturePiece:"), "cappair": tx.suffixes(lined, "dyn:capPair:"),
         "attack": F.array_distinct(tx.suffixes(lined, "pv:attack:")), "moved": tx.suffixes(lined, "pv:pieceMoved:"),
         "promo": F.exists(actions, lambda x: x.contains("=")) | tx.has_prefix(lined, "pv:promotion"),

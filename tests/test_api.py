@@ -40,12 +40,13 @@ def test_positions_with_and_without_a_model(spark, corpus, queries):
     plain = api.search_position(corpus, queries, k=2).collect()
     fens = {r.event_id: r.fen for r in corpus.records.collect()} | {r.event_id: r.fen for r in queries.collect()}
     assert plain and all(fens[r.qid] != fens[r.doc_id] for r in plain)
-    rows = api.pair_table(corpus, queries, api.search_fields(corpus, queries, k=4)).withColumn("features", array_to_vector(F.array(*pairs.feature_names())))
-    rows = rows.withColumn("label", (F.col("move_lev") > 0.3).cast("int")).persist()
+    table = api.pair_table(corpus, queries, api.search_fields(corpus, queries, k=4))
+    rows = spark.createDataFrame(table.collect(), table.schema).withColumn("features", array_to_vector(F.array(*pairs.feature_names())))
+    rows = rows.withColumn("label", (F.col("move_lev") > 0.3).cast("int"))
     model = Pipeline(stages=[LogisticRegression(featuresCol="features", labelCol="label", regParam=0.1)]).fit(rows)
     scored = api.search_position(corpus, queries, k=2, model=model).collect()
     assert len(scored) == 6 and all(0 <= r.model_prob <= 1 for r in scored) and {r["rank"] for r in scored} == {1, 2}
-    out = api.rerank_search(corpus, queries, k=3, model=model).collect()
+    out = api.rerank_search(corpus, queries, k=3).collect()
     assert len(out) == 9 and all(0 <= r.rerank_score <= 1 for r in out)
 
 
