@@ -10,7 +10,7 @@ from ..operators import evaluate as ev
 from ..operators import rerank as rr
 from ..operators import sampling as sa
 from ..sources.tables import table
-from .retrieval import EVERY, documents, pool, query_hits, rounded
+from .retrieval import EVERY, PAGES, corpus, documents, pool, query_hits, rounded
 from .similarity import SETS
 
 KS = (1, 5, 10)
@@ -111,6 +111,18 @@ def field_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "recall", "mrr", "precision")
 
 
+FIELD_COMPARISON = f"""with {corpus(PAGES)},
+q as (select doc_id as qid, field, token, tf as qtf from post where doc_id % {EVERY} = 0),
+per as (select qid, field, doc_id, round(sum(qtf * w), 9) as score from weighted join q using (field, token) where doc_id <> qid group by all),
+hits as (select * from (select *, row_number() over (partition by qid, field order by score desc, doc_id) as r from per) where r <= 10),
+host as (select page_id, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) as host from pages),
+m as (select h.qid, field, case when a.host = b.host then r end as r from hits h join host a on a.page_id = h.doc_id join host b on b.page_id = h.qid),
+p as (select page_id as qid, f.field, min(r) as first, count(r) as n from pages cross join (values ('url'), ('body')) as f(field)
+  left join m on m.qid = page_id and m.field = f.field where page_id % {EVERY} = 0 group by all)
+select 10 as k, round(avg(case when first <= 10 then 1.0 else 0.0 end), 6) as recall, round(avg(case when first <= 10 then 1.0::double / first else 0.0 end), 6) as mrr,
+round(avg(n::double / 10), 6) as precision, count(*) as n_queries, field from p group by field"""
+
+
 RERANK_WEIGHTS = {"bm25": 0.25, "tactic": 0.30, "pv_length": 0.05, "rating": 0.10}
 
 
@@ -217,7 +229,7 @@ QUERIES = {
     "recall_diagnosis": (recall_diagnosis, DIAGNOSIS),
     "recall_diagnosis_totals": (recall_diagnosis_totals, TOTALS),
     "zero_similar_report": (zero_similar_report, f"with {LABELS} select qid, count(*) as n from lab group by qid having count(*) filter (label = 'similar') = 0"),
-    "field_comparison": (field_comparison, None),
+    "field_comparison": (field_comparison, FIELD_COMPARISON),
     "weighted_rerank": (weighted_rerank, RERANK),
     "reference_rerank": (reference_rerank, REFERENCE),
     "largest_remainder_quota": (largest_remainder_quota, QUOTA),

@@ -43,6 +43,12 @@ def daily_events(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select(F.to_date("w.start").cast("string").alias("day"), "event_type", "n", "total"), "total")
 
 
+WEAK_PAIRS = f"""with e as (select vec_id as a, label as g, len(embedding) as width, md5('42|' || vec_id) as h from embeddings),
+s as (select *, ('0x' || substr(h, 1, 8))::bigint % greatest(1, (select count(*) from e) // {learn.SLICE_ROWS}) as slice from e),
+w as (select *, k, lead(a, k) over (partition by k, slice, g order by h, a) as b1, lead(a, k) over (partition by k, slice order by h, a) as b0,
+  lead(g, k) over (partition by k, slice order by h, a) as g0 from s, (values (1), (2)) as t(k))
+select a, b1 as b, 1 as label, 3 * width as width from w where b1 is not null union all select a, b0, 0, 3 * width from w where b0 is not null and g0 <> g"""
+
 DAILY = "select cast(cast(ts as date) as varchar) as day, event_type, count(*) as n, round(sum(value), 6) as total from events group by all"
 
 
@@ -59,7 +65,7 @@ select user_id, count(*) as sessions, max(n) as longest from (select user_id, s,
 QUERIES = {
     "kmeans_profile": (kmeans_profile, None),
     "weak_label_classifier": (weak_label_classifier, None),
-    "weak_pairs": (weak_pairs, None),
+    "weak_pairs": (weak_pairs, WEAK_PAIRS),
     "daily_events": (daily_events, DAILY),
     "session_counts": (session_counts, SESSIONS),
 }

@@ -183,8 +183,10 @@ def rrf_two_fields(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(hits)
 
 
-RRF = f"""with {corpus('''select 'url' as field, page_id as doc_id, url as text from pages
-union all select 'body', page_id, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') from pages''')},
+PAGES = """select 'url' as field, page_id as doc_id, url as text from pages
+union all select 'body', page_id, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') from pages"""
+
+RRF = f"""with {corpus(PAGES)},
 q as (select doc_id as qid, field, token, 1.0 as qtf from post where doc_id % {EVERY} = 0),
 per as (select qid, field, doc_id, round(sum(qtf * w), 9) as score from weighted join q using (field, token) group by all),
 cut as (select * from (select *, row_number() over (partition by qid, field order by score desc, doc_id) as r from per) where r <= 300),
