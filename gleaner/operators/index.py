@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sizes import checked
+
 
 @dataclass(frozen=True)
 class Index:
@@ -43,14 +45,19 @@ def lengths(docs: DataFrame, fields: dict[str, Column], doc_id: str) -> DataFram
     return rows.withColumn("dl", F.size("tokens")).filter("dl > 0")
 
 
-def build(docs: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id") -> Index:
-    """The index of ``docs``' token arrays, one field for each. Ids must be unique."""
+def build(docs: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id", only: DataFrame | None = None) -> Index:
+    """The index of ``docs``' token arrays, one field for each. Ids must be unique.
+
+    With ``only``, a table of (field, token), nothing but those tokens'
+    postings is made: what a search without a saved index needs. Others fall
+    away before the shuffle. Lengths count all tokens all the same; statistics
+    over all terms, as one scheme wants them, need the whole index.
+    """
     rows = lengths(docs, fields, doc_id)
-    postings = (
-        rows.select("field", "doc_id", "dl", F.explode("tokens").alias("token"))
-        .groupBy("field", "token", "doc_id", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    tokens = rows.select("field", "doc_id", "dl", F.explode("tokens").alias("token"))
+    if only is not None:
+        tokens = tokens.join(checked(only.select("field", "token").distinct(), 64), ["field", "token"], "left_semi")
+    postings = tokens.groupBy("field", "token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return Index(
         postings,
         postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df")),

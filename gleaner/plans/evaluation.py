@@ -105,7 +105,7 @@ def field_comparison(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("url", "body"):
         fields = {name: F.col(name)}
         terms = se.query_terms(pages.filter(F.col("doc_id") % EVERY == 0), fields, qid="doc_id")
-        hits = se.search(ix.build(pages, fields), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
+        hits = se.search(ix.build(pages, fields, only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
         one = ev.metrics(hits.join(host, "doc_id").join(q, "qid"), F.col("host") == F.col("q_host"), (10,), queries).withColumn("field", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return rounded(out, "recall", "mrr", "precision")

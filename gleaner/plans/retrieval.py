@@ -18,8 +18,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", "lang", "source", word_tokens(F.col("text")).alias("tokens"))
 
 
-def document_index(spark: SparkSession, sf: str) -> ix.Index:
-    return ix.build(documents(spark, sf), {"text": F.col("tokens")})
+def document_index(spark: SparkSession, sf: str, only: DataFrame | None = None) -> ix.Index:
+    return ix.build(documents(spark, sf), {"text": F.col("tokens")}, only=only)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -73,7 +73,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten documents most like document 7, without itself."""
     docs = documents(spark, sf)
     terms = se.query_terms(docs.filter("doc_id = 7"), {"text": F.col("tokens")}, qid="doc_id")
-    hits = se.search(ix.build(docs, {"text": F.col("tokens")}), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
+    hits = se.search(ix.build(docs, {"text": F.col("tokens")}, only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
     return rounded(hits)
 
 
@@ -97,7 +97,7 @@ def bm25_batch_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item's five best documents, in one job."""
     items = table(spark, sf, "benchmark").select("item_id", word_tokens(F.col("text")).alias("tokens"))
     terms = se.query_terms(items, {"text": F.col("tokens")}, qid="item_id")
-    return rounded(se.search(document_index(spark, sf), terms, 5))
+    return rounded(se.search(document_index(spark, sf, terms), terms, 5))
 
 
 BM25_BATCH = f"""with {corpus(DOCUMENTS)},
@@ -110,7 +110,7 @@ def bm25_distinct_clauses(spark: SparkSession, sf: str) -> DataFrame:
     """As the batch, but each distinct token is one clause."""
     items = table(spark, sf, "benchmark").select("item_id", word_tokens(F.col("text")).alias("tokens"))
     terms = se.query_terms(items, {"text": F.col("tokens")}, qid="item_id", distinct=True)
-    return rounded(se.search(document_index(spark, sf), terms, 5))
+    return rounded(se.search(document_index(spark, sf, terms), terms, 5))
 
 
 BM25_DISTINCT = BM25_BATCH.replace("count(*) as qtf from (\n  select item_id", "1.0 as qtf from (\n  select item_id")
@@ -126,7 +126,7 @@ def bm25_group_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     """For every fiftieth conversation's first turn, the five most similar turns of other conversations."""
     rows = turns(spark, sf)
     terms = se.query_terms(rows.filter(f"turn = 1 and conv_id % {EVERY} = 0"), {"text": F.col("tokens")}, qid="doc_id")
-    hits = se.search(ix.build(rows, {"text": F.col("tokens")}), terms, 5, exclude=se.same_group(F.col("qid"), F.col("doc_id")))
+    hits = se.search(ix.build(rows, {"text": F.col("tokens")}, only=terms), terms, 5, exclude=se.same_group(F.col("qid"), F.col("doc_id")))
     return rounded(hits)
 
 
@@ -154,7 +154,7 @@ def bm25_family_weighted(spark: SparkSession, sf: str) -> DataFrame:
     for name, x in SHAPES.items():
         w = F.when(shape(F.col("token")) == name, x).otherwise(w)
     terms = terms.withColumn("qtf", F.col("qtf") * w)
-    return rounded(se.search(ix.build(docs, {"text": F.col("tokens")}), terms, 10, exclude=F.col("qid") == F.col("doc_id")))
+    return rounded(se.search(ix.build(docs, {"text": F.col("tokens")}, only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id")))
 
 
 SHAPE_SQL = "case when regexp_matches(token, '^[0-9]+$') then 3.0 when length(token) <= 3 then 0.5 when length(token) >= 8 then 2.0 else 1.0 end"
@@ -179,7 +179,7 @@ def rrf_two_fields(spark: SparkSession, sf: str) -> DataFrame:
     pages = page_fields(spark, sf)
     fields = {n: F.col(n) for n in RRF_WEIGHTS}
     terms = se.query_terms(pages.filter(f"doc_id % {EVERY} = 0"), fields, qid="doc_id", distinct=True)
-    hits = se.rrf(ix.build(pages, fields), terms, RRF_WEIGHTS, 10, exclude=F.col("qid") == F.col("doc_id"))
+    hits = se.rrf(ix.build(pages, fields, only=terms), terms, RRF_WEIGHTS, 10, exclude=F.col("qid") == F.col("doc_id"))
     return rounded(hits)
 
 
@@ -226,7 +226,7 @@ def query_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """(qid, doc_id, score, rank): every fiftieth document's pool of ``k``."""
     docs = documents(spark, sf)
     terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), {"text": F.col("tokens")}, qid="doc_id")
-    return se.search(ix.build(docs, {"text": F.col("tokens")}), terms, k, exclude=F.col("qid") == F.col("doc_id"))
+    return se.search(ix.build(docs, {"text": F.col("tokens")}, only=terms), terms, k, exclude=F.col("qid") == F.col("doc_id"))
 
 
 def pool(k: int) -> str:
