@@ -197,15 +197,14 @@ def similarity_labels(corpus: Corpus, queries: DataFrame, k: int = 10) -> DataFr
     from .operators import static_similarity as ss
 
     hits = search_fields(corpus, queries, "text_static", k, exclude=search.same_group(F.col("qid"), F.col("doc_id")))
-    side = corpus.records.select(F.col("event_id").alias("doc_id"), F.col("fen").alias("__c"), F.col("turn").alias("__ct"))
-    asked = queries.select(F.col("event_id").alias("qid"), F.col("fen").alias("__q"), F.col("turn").alias("__qt"))
-    rows = hits.join(side, "doc_id").join(asked, "qid")
 
-    def both(c: str) -> tuple[Column, ...]:
-        fen = F.col(f"__{c}")
-        return fen, F.col(f"__{c}t"), fn.pocket_letters(fen, True), fn.pocket_letters(fen, False)
+    def sides(records: DataFrame, key: str, name: str) -> DataFrame:
+        fen = F.col("fen")
+        held = [fn.pocket_letters(fen, white) for white in (True, False)]
+        return records.select(F.col("event_id").alias(key), ss.profile(fen, F.col("turn"), *held).alias(name))
 
-    score = F.round(ss.similarity(*both("q"), *both("c")), 9)
+    rows = hits.join(sides(corpus.records, "doc_id", "__c"), "doc_id").join(sides(queries, "qid", "__q"), "qid")
+    score = F.round(ss.similarity(F.col("__q"), F.col("__c")), 9)
     out = rows.withColumn("static_sim_score", score).withColumn("label", ss.label(F.col("static_sim_score")))
     return out.select("qid", "doc_id", "rank", "static_sim_score", "label")
 

@@ -2,8 +2,9 @@
 
 ``postings`` has a row per field, token and document with its frequency and
 the document's length; ``terms`` the document frequencies; ``fields`` the
-number of documents and their mean length. Everything is one pass over the
-tokens: a shuffle by (field, token, document), with counts combined before it.
+number of documents and their mean length. Documents are shuffled once, by
+id, before their tokens are made, so that a document's counts, and its scores
+against queries, are put together where it is.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def build(docs: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id", on
     away before the shuffle. Lengths count all tokens all the same; statistics
     over all terms, as one scheme wants them, need the whole index.
     """
-    rows = lengths(docs, fields, doc_id)
+    # One shuffle, of the documents: counts and, after a broadcast join, scores need no other.
+    rows = lengths(docs.repartition(F.col(doc_id)), fields, doc_id)
     tokens = rows.select("field", "doc_id", "dl", F.explode("tokens").alias("token"))
     if only is not None:
         tokens = tokens.join(checked(only.select("field", "token").distinct(), 64), ["field", "token"], "left_semi")

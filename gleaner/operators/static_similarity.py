@@ -28,56 +28,62 @@ def _cells(fen: Column) -> Column:
     return F.when(F.length(fn.squares(fen)) == 64, F.filter(cells, lambda x: x["p"] != ".")).otherwise(F.filter(cells, lambda x: F.lit(False)))
 
 
-def parts(q_fen: Column, q_turn: Column, q_white: Column, q_black: Column, c_fen: Column, c_turn: Column, c_white: Column, c_black: Column) -> dict[str, Column]:
-    """The ten parts. Pockets are sorted letters; a king not found is unknown, which counts half."""
-    qt, ct = fn.turn(q_turn), fn.turn(c_turn)
-    qb, cb = _cells(q_fen), _cells(c_fen)
+def profile(fen: Column, turn: Column, white: Column, black: Column) -> Column:
+    """What the parts need of one position, as a struct; pockets are sorted letters.
 
-    def pieces(b: Column) -> Column:
-        return F.transform(b, lambda x: x["p"])
+    The king is the defending one, of the side not to move; null if there is
+    none.
+    """
+    bound = F.struct(_cells(fen).alias("b"), fn.turn(turn).alias("t"), white.alias("w"), black.alias("k"))
 
-    def pocket(turn: Column, white: Column, black: Column, attacker: bool) -> Column:
-        return F.when((turn == "black") == F.lit(attacker), black).otherwise(white)
+    def made(s: Column) -> Column:
+        cells, to_move = s["b"], s["t"]
+        letter = F.when(to_move == "black", "K").otherwise("k")
 
-    def king(b: Column, turn: Column) -> Column:
-        letter = F.when(turn == "black", "K").otherwise("k")
-        return F.get(F.filter(b, lambda x: x["p"] == letter), 0)
+        def pawns(piece: str, axis: str) -> Column:
+            return _counts(F.transform(F.filter(cells, lambda x: x["p"] == piece), lambda x: x[axis].cast("string")))
 
-    qk, ck = king(qb, qt), king(cb, ct)
+        return F.struct(
+            to_move.alias("turn"), F.size(cells).alias("n"), _counts(F.transform(cells, lambda x: x["p"])).alias("pieces"),
+            F.when(to_move == "black", s["k"]).otherwise(s["w"]).alias("attacker"), F.when(to_move == "black", s["w"]).otherwise(s["k"]).alias("defender"),
+            F.get(F.filter(cells, lambda x: x["p"] == letter), 0).alias("king"),
+            *[pawns(p, axis).alias(f"{side}_{axis}") for side, p in (("w", "P"), ("b", "p")) for axis in ("f", "r")],
+        )
 
+    return F.transform(F.array(bound), made)[0]
+
+
+def parts(q: Column, c: Column) -> dict[str, Column]:
+    """The ten parts of two profiles; a king not found is unknown, which counts half."""
     def zone(k: Column) -> Column:
         return F.when(k.isNull(), "unknown").when(k["f"] >= 5, "kingside").when(k["f"] <= 2, "queenside").otherwise("centre")
 
-    def castled(k: Column, turn: Column) -> Column:
-        home = F.when(turn == "black", 0).otherwise(7)
-        return F.coalesce(k["f"].isin(2, 6) & (k["r"] == home), F.lit(False))
+    def castled(p: Column) -> Column:
+        home = F.when(p["turn"] == "black", 0).otherwise(7)
+        return F.coalesce(p["king"]["f"].isin(2, 6) & (p["king"]["r"] == home), F.lit(False))
 
     def pawns(axis: str) -> Column:
-        def counts(b: Column, letter: str) -> Column:
-            return _counts(F.transform(F.filter(b, lambda x: x["p"] == letter), lambda x: x[axis].cast("string")))
-
-        return (count_similarity(counts(qb, "P"), counts(cb, "P")) + count_similarity(counts(qb, "p"), counts(cb, "p"))) / 2
+        return (count_similarity(q[f"w_{axis}"], c[f"w_{axis}"]) + count_similarity(q[f"b_{axis}"], c[f"b_{axis}"])) / 2
 
-    zone_score = F.when(zone(qk) == "unknown", 0.5).when(zone(qk) == zone(ck), 1.0).otherwise(0.0)
-    rank_score = F.when(qk.isNotNull() & ck.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(qk["r"] - ck["r"]) / 4)).otherwise(0.5)
+    qk, ck = q["king"], c["king"]
     return {
-        "turn": F.when(qt == ct, 1.0).otherwise(0.7),
-        "piece_counts": count_similarity(_counts(pieces(qb)), _counts(pieces(cb))),
-        "material": F.greatest(F.lit(0.0), 1 - F.abs(F.size(qb) - F.size(cb)) / 8),
-        "attacker_pocket": multiset_jaccard(pocket(qt, q_white, q_black, True), pocket(ct, c_white, c_black, True)),
-        "defender_pocket": multiset_jaccard(pocket(qt, q_white, q_black, False), pocket(ct, c_white, c_black, False)),
-        "king_zone": zone_score,
-        "king_rank": rank_score,
-        "castled": F.when(castled(qk, qt) == castled(ck, ct), 1.0).otherwise(0.0),
+        "turn": F.when(q["turn"] == c["turn"], 1.0).otherwise(0.7),
+        "piece_counts": count_similarity(q["pieces"], c["pieces"]),
+        "material": F.greatest(F.lit(0.0), 1 - F.abs(q["n"] - c["n"]) / 8),
+        "attacker_pocket": multiset_jaccard(q["attacker"], c["attacker"]),
+        "defender_pocket": multiset_jaccard(q["defender"], c["defender"]),
+        "king_zone": F.when(zone(qk) == "unknown", 0.5).when(zone(qk) == zone(ck), 1.0).otherwise(0.0),
+        "king_rank": F.when(qk.isNotNull() & ck.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(qk["r"] - ck["r"]) / 4)).otherwise(0.5),
+        "castled": F.when(castled(q) == castled(c), 1.0).otherwise(0.0),
         "pawn_files": pawns("f"),
         "pawn_ranks": pawns("r"),
     }
 
 
-def similarity(*sides: Column) -> Column:
-    """The weighted mean of ``parts``."""
+def similarity(q: Column, c: Column) -> Column:
+    """The weighted mean of the parts of two profiles, which should be columns, each made once."""
     out = F.lit(0.0)
-    for name, part in parts(*sides).items():
+    for name, part in parts(q, c).items():
         out = out + F.lit(WEIGHTS[name]) * part
     return out / F.lit(sum(WEIGHTS.values()))
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
+from ..functions.text import word_tokens
 from ..operators import evaluate as ev
 from ..operators import rerank as rr
 from ..operators import sampling as sa
 from ..sources.tables import table
-from .retrieval import EVERY, PAGES, corpus, documents, pool, query_hits, rounded
+from .retrieval import EVERY, PAGES, corpus, pool, query_hits, rounded
 from .similarity import SETS
 
 KS = (1, 5, 10)
@@ -103,7 +104,7 @@ def field_comparison(spark: SparkSession, sf: str) -> DataFrame:
     queries = pages.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"))
     out = None
     for name in ("url", "body"):
-        fields = {name: F.col(name)}
+        fields = {name: word_tokens(F.col(name))}
         terms = se.query_terms(pages.filter(F.col("doc_id") % EVERY == 0), fields, qid="doc_id")
         hits = se.search(ix.build(pages, fields, only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
         one = ev.metrics(hits.join(host, "doc_id").join(q, "qid"), F.col("host") == F.col("q_host"), (10,), queries).withColumn("field", F.lit(name))
@@ -128,7 +129,7 @@ RERANK_WEIGHTS = {"bm25": 0.25, "tactic": 0.30, "pv_length": 0.05, "rating": 0.1
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
     """Pooled pairs with tokens, numbers of characters and ranks."""
-    docs = documents(spark, sf).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "tokens", "n_chars")
+    docs = table(spark, sf, "documents").select("doc_id", word_tokens(F.col("text")).alias("tokens"), "n_chars")
     q = docs.select(F.col("doc_id").alias("qid"), F.col("tokens").alias("q"), F.col("n_chars").alias("q_chars"))
     return query_hits(spark, sf, 20).join(docs.withColumnRenamed("tokens", "c"), "doc_id").join(q, "qid")
 

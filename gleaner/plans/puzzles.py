@@ -116,11 +116,10 @@ string_agg(row, '/' order by r desc) || '[QNp] w - - 0 1' as bracketed, string_a
 
 def static_similarities(spark: SparkSession, sf: str) -> DataFrame:
     """Each synthetic position against the next one: score and label."""
-    a = fens(spark, sf)
-    b = a.select((F.col("pos_id") - 1).alias("pos_id"), F.col("fen").alias("next"))
     none = F.array().cast("array<string>")
-    white = F.lit("white")
-    score = static_similarity.similarity(F.col("fen"), white, none, none, F.col("next"), white, none, none)
+    a = fens(spark, sf).select("pos_id", static_similarity.profile(F.col("fen"), F.lit("white"), none, none).alias("q"))
+    b = a.select((F.col("pos_id") - 1).alias("pos_id"), F.col("q").alias("c"))
+    score = static_similarity.similarity(F.col("q"), F.col("c"))
     out = a.join(b, "pos_id").select("pos_id", F.round(score, 6).alias("score"))
     return out.withColumn("label", static_similarity.label(F.col("score")))
 

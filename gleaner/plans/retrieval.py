@@ -15,11 +15,16 @@ EVERY = 50
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source", word_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+
+
+def text_field() -> dict[str, F.Column]:
+    """Made when it is used: the text is shuffled, not its tokens."""
+    return {"text": word_tokens(F.col("text"))}
 
 
 def document_index(spark: SparkSession, sf: str, only: DataFrame | None = None) -> ix.Index:
-    return ix.build(documents(spark, sf), {"text": F.col("tokens")}, only=only)
+    return ix.build(documents(spark, sf), text_field(), only=only)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -72,8 +77,8 @@ SCORES = "scores as (select qid, doc_id, round(sum(qtf * w), 9) as score from we
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten documents most like document 7, without itself."""
     docs = documents(spark, sf)
-    terms = se.query_terms(docs.filter("doc_id = 7"), {"text": F.col("tokens")}, qid="doc_id")
-    hits = se.search(ix.build(docs, {"text": F.col("tokens")}, only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
+    terms = se.query_terms(docs.filter("doc_id = 7"), text_field(), qid="doc_id")
+    hits = se.search(ix.build(docs, text_field(), only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
     return rounded(hits)
 
 
@@ -84,8 +89,8 @@ q as (select doc_id as qid, field, token, tf as qtf from post where doc_id = 7),
 
 def bm25_okapi_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    terms = se.query_terms(docs.filter("doc_id = 7"), {"text": F.col("tokens")}, qid="doc_id")
-    return rounded(se.search_all(ix.build(docs, {"text": F.col("tokens")}), terms, docs, 10))
+    terms = se.query_terms(docs.filter("doc_id = 7"), text_field(), qid="doc_id")
+    return rounded(se.search_all(ix.build(docs, text_field()), terms, docs, 10))
 
 
 BM25_OKAPI_TOPK = f"""with {corpus(DOCUMENTS, "okapi")},
@@ -95,8 +100,8 @@ q as (select doc_id as qid, field, token, tf as qtf from post where doc_id = 7),
 
 def bm25_batch_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item's five best documents, in one job."""
-    items = table(spark, sf, "benchmark").select("item_id", word_tokens(F.col("text")).alias("tokens"))
-    terms = se.query_terms(items, {"text": F.col("tokens")}, qid="item_id")
+    items = table(spark, sf, "benchmark")
+    terms = se.query_terms(items, text_field(), qid="item_id")
     return rounded(se.search(document_index(spark, sf, terms), terms, 5))
 
 
@@ -108,8 +113,8 @@ q as (select qid, 'text' as field, token, count(*) as qtf from (
 
 def bm25_distinct_clauses(spark: SparkSession, sf: str) -> DataFrame:
     """As the batch, but each distinct token is one clause."""
-    items = table(spark, sf, "benchmark").select("item_id", word_tokens(F.col("text")).alias("tokens"))
-    terms = se.query_terms(items, {"text": F.col("tokens")}, qid="item_id", distinct=True)
+    items = table(spark, sf, "benchmark")
+    terms = se.query_terms(items, text_field(), qid="item_id", distinct=True)
     return rounded(se.search(document_index(spark, sf, terms), terms, 5))
 
 
@@ -118,15 +123,15 @@ BM25_DISTINCT = BM25_BATCH.replace("count(*) as qtf from (\n  select item_id", "
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(
-        F.concat_ws("_", "conv_id", "turn").alias("doc_id"), "conv_id", "turn", "role", word_tokens(F.col("text")).alias("tokens")
+        F.concat_ws("_", "conv_id", "turn").alias("doc_id"), "conv_id", "turn", "role", "text"
     )
 
 
 def bm25_group_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     """For every fiftieth conversation's first turn, the five most similar turns of other conversations."""
     rows = turns(spark, sf)
-    terms = se.query_terms(rows.filter(f"turn = 1 and conv_id % {EVERY} = 0"), {"text": F.col("tokens")}, qid="doc_id")
-    hits = se.search(ix.build(rows, {"text": F.col("tokens")}, only=terms), terms, 5, exclude=se.same_group(F.col("qid"), F.col("doc_id")))
+    terms = se.query_terms(rows.filter(f"turn = 1 and conv_id % {EVERY} = 0"), text_field(), qid="doc_id")
+    hits = se.search(ix.build(rows, text_field(), only=terms), terms, 5, exclude=se.same_group(F.col("qid"), F.col("doc_id")))
     return rounded(hits)
 
 
@@ -149,12 +154,12 @@ def shape(token: F.Column) -> F.Column:
 def bm25_family_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Query terms weighted by family: every fiftieth document against all, ten hits."""
     docs = documents(spark, sf)
-    terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), {"text": F.col("tokens")}, qid="doc_id")
+    terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), text_field(), qid="doc_id")
     w = F.lit(0.0)
     for name, x in SHAPES.items():
         w = F.when(shape(F.col("token")) == name, x).otherwise(w)
     terms = terms.withColumn("qtf", F.col("qtf") * w)
-    return rounded(se.search(ix.build(docs, {"text": F.col("tokens")}, only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id")))
+    return rounded(se.search(ix.build(docs, text_field(), only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id")))
 
 
 SHAPE_SQL = "case when regexp_matches(token, '^[0-9]+$') then 3.0 when length(token) <= 3 then 0.5 when length(token) >= 8 then 2.0 else 1.0 end"
@@ -167,7 +172,7 @@ q as (select doc_id as qid, field, token, tf * {SHAPE_SQL}::double as qtf from p
 def page_fields(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ")
     return table(spark, sf, "pages").select(
-        F.col("page_id").alias("doc_id"), word_tokens(F.col("url")).alias("url"), word_tokens(plain).alias("body")
+        F.col("page_id").alias("doc_id"), "url", plain.alias("body")
     )
 
 
@@ -177,7 +182,7 @@ RRF_WEIGHTS = {"url": 1.0, "body": 2.0}
 def rrf_two_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Pages by their addresses' and bodies' ranks fused; every fiftieth page is a query."""
     pages = page_fields(spark, sf)
-    fields = {n: F.col(n) for n in RRF_WEIGHTS}
+    fields = {n: word_tokens(F.col(n)) for n in RRF_WEIGHTS}
     terms = se.query_terms(pages.filter(f"doc_id % {EVERY} = 0"), fields, qid="doc_id", distinct=True)
     hits = se.rrf(ix.build(pages, fields, only=terms), terms, RRF_WEIGHTS, 10, exclude=F.col("qid") == F.col("doc_id"))
     return rounded(hits)
@@ -225,8 +230,8 @@ def retrieve_by_id(spark: SparkSession, sf: str) -> DataFrame:
 def query_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """(qid, doc_id, score, rank): every fiftieth document's pool of ``k``."""
     docs = documents(spark, sf)
-    terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), {"text": F.col("tokens")}, qid="doc_id")
-    return se.search(ix.build(docs, {"text": F.col("tokens")}, only=terms), terms, k, exclude=F.col("qid") == F.col("doc_id"))
+    terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), text_field(), qid="doc_id")
+    return se.search(ix.build(docs, text_field(), only=terms), terms, k, exclude=F.col("qid") == F.col("doc_id"))
 
 
 def pool(k: int) -> str:

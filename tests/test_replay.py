@@ -152,7 +152,9 @@ def test_static_similarity_cases(spark):
     rows = [(i, *REFERENCE, *c, s, y) for i, (c, s, y) in enumerate(CASES)]
     kind = "{0}_fen string, {0}_turn string, {0}_white array<string>, {0}_black array<string>"
     df = spark.createDataFrame(rows, f"i int, {kind.format('q')}, {kind.format('c')}, want double, label int")
-    score = static_similarity.similarity(*[F.col(f"{s}_{c}") for s in "qc" for c in ("fen", "turn", "white", "black")])
+    for s in "qc":
+        df = df.withColumn(s, static_similarity.profile(*[F.col(f"{s}_{c}") for c in ("fen", "turn", "white", "black")]))
+    score = static_similarity.similarity(F.col("q"), F.col("c"))
     for r in df.withColumn("score", score).withColumn("got", static_similarity.label(F.col("score"))).collect():
         assert r.score == pytest.approx(r.want, abs=1e-4) and r.got == r.label
 
