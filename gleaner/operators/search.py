@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import by_family_weight
 from .index import Index
+from .sizes import within
 
 # Usual constants: of Lucene's similarity, and of Okapi's with its floor for common terms.
 LUCENE_K1, LUCENE_B = 1.2, 0.75
@@ -63,8 +64,15 @@ def weight(scheme: str = "lucene") -> Column:
 
 
 def scores(index: Index, terms: DataFrame, scheme: str = "lucene") -> DataFrame:
-    """(qid, field, doc_id, score) of every document that shares a token with the query."""
+    """(qid, field, doc_id, score) of every document that shares a token with the query.
+
+    Query terms within the bound are broadcast, so that postings stay where
+    their documents are and a document's scores add up there; more of them are
+    joined by a shuffle on tokens.
+    """
     wanted = terms.join(idf(index, scheme), ["field", "token"])
+    if within(terms, 96):
+        wanted = F.broadcast(wanted)
     return (
         index.postings.join(wanted, ["field", "token"])
         .groupBy("qid", "field", "doc_id")

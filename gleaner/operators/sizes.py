@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+def within(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df``'s count times ``row_bytes`` is within ``limit``; counting stops just above it."""
+    most = limit // row_bytes
+    return df.limit(most + 1).count() <= most
+
+
 def checked(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its count times ``row_bytes`` is within ``limit``.
+    """``df`` marked for broadcast if it is within ``limit``.
 
-    Counting stops just above the limit. Beyond it the join is left to Spark,
-    which shuffles and splits hot keys.
+    Beyond it the join is left to Spark, which shuffles and splits hot keys.
     """
-    most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if within(df, row_bytes, limit) else df
