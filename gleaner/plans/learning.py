@@ -34,7 +34,7 @@ def weak_label_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def weak_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs themselves, each with its label and the length of its feature vector."""
     pairs = learn.neighbour_pairs(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
-    return pairs.select("a", "b", "label", F.size("pair").alias("width"))
+    return pairs.select("a", "b", "label", F.size("pair").cast("long").alias("width"))
 
 
 def daily_events(spark: SparkSession, sf: str) -> DataFrame:
