@@ -54,6 +54,7 @@ WANT = "First paragraph with a good number of words in it. Second & last one, wi
         f"<body><header>The name of the site in some words</header>{PARAGRAPHS}<form>Write to us <input> now</form><script>var a = '<p>no words</p>';</script>",
         f"<article><div class='ad banner'>Buy this thing now</div>{PARAGRAPHS}<aside>Read this too, and this</aside><style>p {{ a: b }}</style></article>",
         f"<article>{PARAGRAPHS}<div class=\"cookie-notice\" data-x='a>b'>We use cookies here</div><!-- <p>comment</p> --></article>",
+        f"<body><article title='hidden menu' data-id=comments data-class='ad'>{PARAGRAPHS}<p hidden>Not shown at all to you</p></article>",
         f"<body><ul class=menu><li>One<li>Two<li>Three</ul><article>{PARAGRAPHS}",
     ],
 )
