@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled
+from .common import held_out, hinted
 
 #: Units in each direction, and bytes of a segment.
 UNITS, LENGTH = 10, 64
@@ -29,6 +29,9 @@ UNITS, LENGTH = 10, 64
 #: Bounds of the learning sample: texts, by hashed id, and bytes of each.
 SAMPLE_TEXTS, SAMPLE_BYTES = 6000, 4000
 
+#: Hashes of a large label's texts that a draw is made from, at least about.
+LEAST_HASHES = 64
+
 #: Training: updates, segments in each, learning rate, seed.
 UPDATES, BATCH, RATE, SEED = 400, 192, 0.02, 7
 
@@ -232,13 +235,42 @@ def pooled(net: Net, texts: list[bytes]) -> np.ndarray:
     return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
 
 
+def quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
+    """How many texts to draw of each label: alike many, one at least; what small labels leave goes to the others."""
+    out: dict[str, int] = {}
+    rest = total
+    for done, label in enumerate(sorted(sizes, key=lambda y: (sizes[y], y))):
+        out[label] = max(1, min(sizes[label], rest // (len(sizes) - done)))
+        rest = max(0, rest - out[label])
+    return out
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
-    """Bounded labelled texts of the learning fold, by hashed id."""
+    """Bounded labelled texts of the learning fold, by hashed id, of each label its quota; repeated rows count once."""
     text = F.col(text_col).cast("binary")
     usable = F.col(lang_col).isNotNull() & ~held_out(id_col) & (F.octet_length(text) <= SAMPLE_BYTES) & (F.octet_length(text) > 0)
-    known = docs.filter(usable).select(F.col(id_col).cast("string").alias("i"), text.alias("t"), F.col(lang_col).alias("y"))
-    rows = sampled(known, docs.count(), SAMPLE_TEXTS, "i", "t")
-    return [(bytes(r.t), r.y) for r in rows.collect()]
+    known = docs.filter(usable).select(
+        text.alias("t"), F.col(lang_col).alias("y"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h")
+    )
+    about = {r.y: r.n for r in known.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not about:
+        return []
+    # The driver sees hashes of some four times the quota, and draws the least of them.
+    share = {y: max(1, about[y] // max(4 * n, LEAST_HASHES)) for y, n in quotas(about, SAMPLE_TEXTS).items()}
+    thinned = F.pmod(F.xxhash64(F.lit(7), "h"), F.col("share")) == 0
+    hashes: dict[str, list[int]] = {y: [] for y in about}
+    for r in _with(known.select("y", "h"), "label string, share long", list(share.items())).filter(thinned).select("y", "h").distinct().collect():
+        hashes[r.y].append(r.h)
+    drawn = quotas({y: len(h) for y, h in hashes.items() if h}, SAMPLE_TEXTS)
+    last = [(y, share[y], sorted(hashes[y])[n - 1]) for y, n in drawn.items()]
+    rows = _with(known, "label string, share long, last long", last).filter(thinned & (F.col("h") <= F.col("last")))
+    return [(bytes(r.t), r.y) for r in sorted(rows.dropDuplicates(["y", "h"]).select("t", "y", "h").collect(), key=lambda r: (r.h, r.y))]
+
+
+def _with(rows: DataFrame, schema: str, labels: list[tuple]) -> DataFrame:
+    """``rows`` with what ``labels`` has for their ``y``; other rows go."""
+    known = rows.sparkSession.createDataFrame(labels, schema)
+    return rows.join(hinted(known, len(labels), 64), F.col("y") == F.col("label"))
 
 
 def languages(

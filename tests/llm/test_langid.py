@@ -47,6 +47,20 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
 
 
+def test_sample_is_drawn_from_labelled_texts_of_each_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 40)
+    learned = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5]
+    langs = dict.fromkeys(learned[:600], "many") | dict.fromkeys(learned[700:712], "few") | {learned[-1]: "one"}
+    docs = spark.createDataFrame([(i, f"text {i}", langs.get(i)) for i in range(8000)], "doc_id long, text string, lang string")
+    got = [y for _, y in langid.sample(docs, "doc_id", "text", "lang")]
+    assert {y: got.count(y) for y in got} == {"many": 27, "few": 12, "one": 1}
+
+
+def test_quotas_share_what_is_left():
+    assert langid.quotas({"a": 1, "b": 100, "c": 100}, 41) == {"a": 1, "b": 20, "c": 20}
+    assert langid.quotas({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
+
+
 def trained():
     return langid.train([(t.encode(), y) for _, t, y in texts(200)], updates=40)
 
