@@ -42,8 +42,15 @@ BOILER_WORDS = frozenset(
     " masthead menu modal nav navbar navigation newsletter notice popup promo related replies respond share sharing sidebar signup social"
     " sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Words that may stand beside these in a class or id without changing what it says.
+BESIDE = frozenset(
+    "area bar block bottom box container form global inner item items left links list main primary right secondary section site top wrap wrapper".split()
+)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
+#: An element marked by class or id alone that holds this share of the page's words outside of links is the page's frame.
+FRAME = 0.9
+
 #: Elements that hold one article and may have a header of its own.
 ARTICLE = frozenset(("article", "main"))
 
@@ -64,25 +71,69 @@ class Piece:
     kind: str
 
 
-def _boiler(tag: str, attributes: str, stack: list[tuple[str, int, bool]]) -> bool:
+def _named(value: str) -> bool:
+    """Whether one of the names of a class or id says boilerplate as a whole: cookie-notice does, has-sidebar doesn't."""
+    for name in value.split():
+        parts = set(PART.findall(name))
+        if parts & BOILER_WORDS and all(x in BOILER_WORDS or x in BESIDE or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+def _boiler(tag: str, attributes: str, stack: list[tuple[str, int, bool]]) -> tuple[bool, bool]:
+    """Whether the element is boilerplate, and whether class or id name it so, which its content may gainsay."""
     if tag in BOILER_TAGS:
         # The header of an article holds its title.
-        return not (tag == "header" and any(t in ARTICLE for t, _, _ in stack))
+        return not (tag == "header" and any(t in ARTICLE for t, _, _ in stack)), False
     if not attributes or tag in ("body", "html"):
-        return False
+        return False, False
+    named = False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
-        if name in ("class", "id") and BOILER_WORDS & set(PART.findall(value)):
-            return tag not in ARTICLE
+        if name in ("class", "id") and tag not in ARTICLE and _named(value):
+            named = True
         if name == "role" and value in BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return True, False
+    return False, named
+
+
+def pieces(page: str) -> list[Piece | tuple[str, bool]]:
+    """The page's text runs and tags in order; a tag is (name, is boilerplate).
+
+    An element that class or id name boilerplate isn't if it holds every
+    outermost article of the page, or nearly all of its words.
+    """
+    found: list[Piece | tuple[str, tuple[int, ...], bool]] = []
+    named: set[int] = set()
+    holds: list[set[int]] = []  # per outermost article the named elements around it
+    for x in _parsed(page, named, holds):
+        found.append(x)
+    frames = set.intersection(*holds) if holds else set()
+    if named - frames:
+        words, total = Counter(), 0
+        for x in found:
+            if isinstance(x, Piece) and x.kind == "word":
+                n = len(x.text.split())
+                total += n
+                for k in named.intersection(x.path):
+                    words[k] += n
+        frames |= {k for k, n in words.items() if n >= FRAME * total}
+    marked = named - frames
+    out: list[Piece | tuple[str, bool]] = []
+    for x in found:
+        if isinstance(x, Piece):
+            if marked and not marked.isdisjoint(x.path):
+                x.kind = "boiler"
+            out.append(x)
+        else:
+            out.append((x[0], x[2] or not marked.isdisjoint(x[1])))
+    return out
 
 
-def pieces(page: str) -> Iterator[Piece | tuple[str, bool]]:
-    """The page's text runs and tags in order; a tag is (name, is boilerplate)."""
+def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece | tuple[str, tuple[int, ...], bool]]:
+    """As ``pieces``, with a tag's path; what is named boilerplate goes to ``named`` and counts as content."""
     stack: list[tuple[str, int, bool]] = []  # element, number, within boilerplate
     block = number = links = 0
     at, n = 0, len(page)
@@ -107,7 +158,7 @@ def pieces(page: str) -> Iterator[Piece | tuple[str, bool]]:
             yield piece(" ")
         if name in BLOCK:
             block += 1
-        yield name, within
+        yield name, tuple(x[1] for x in stack), within
         if tag[1]:
             links -= name == "a" and links > 0
             for k in range(len(stack) - 1, -1, -1):
@@ -135,7 +186,12 @@ def pieces(page: str) -> Iterator[Piece | tuple[str, bool]]:
                 continue
             number += 1
             within = bool(stack) and stack[-1][2]
-            stack.append((name, number, within or _boiler(name, tag[3], stack)))
+            sure, by_name = _boiler(name, tag[3], stack)
+            if by_name:
+                named.add(number)
+            if name in ARTICLE and not within and not any(x[0] in ARTICLE for x in stack):
+                holds.append(named.intersection(x[1] for x in stack))
+            stack.append((name, number, within or sure))
         links += name == "a"
 
 

@@ -62,6 +62,24 @@ def test_boilerplate_is_left_out(page):
     assert text(page) == WANT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id=page class='site has-sidebar'><article>{PARAGRAPHS}</article></div>",
+        f"<div class='no-sidebar comments-enabled'><div>{PARAGRAPHS}</div></div>",
+        f"<div class=widget><article>{PARAGRAPHS}</article><div class=comments><article>I read it with joy, and again.</article></div></div>",
+        f"<div id=login><div>{PARAGRAPHS}</div></div>",
+        f"<main>{PARAGRAPHS}<div class='site-footer'>All rights reserved</div></main>",
+    ],
+)
+def test_names_do_not_drop_what_holds_the_content(page):
+    assert text(page) == WANT
+
+
+def test_title_in_an_article_header_stays():
+    assert text(f"<div class=article-header><h1>A title of some words</h1></div><div>{PARAGRAPHS}</div>") == "A title of some words " + WANT
+
+
 def test_short_blocks_inside_stay():
     assert text("<article><h1>Be.</h1><p>A paragraph of quite some words here.</p><p>Er.</p></article>") == "Be. A paragraph of quite some words here. Er."
 
