@@ -3,7 +3,7 @@
 A page is a sequence of tokens: words, which score positive outside of
 boilerplate, and tags, which score negative. The weights are log-odds learned
 from labelled pages. One linear scan finds the contiguous run of the highest
-score; it is widened to the element that holds it. Blocks of that element which
+score; it is widened to the element, and to the article, that holds it. Blocks of that element which
 stand in menus, notices, adverts, forms or comments are left out, and outside
 of the run those that are mostly links.
 """
@@ -69,6 +69,7 @@ class Piece:
     block: int
     path: tuple[int, ...]
     kind: str
+    homes: tuple[int, ...] = ()  # of the path, articles
 
 
 def _named(value: str) -> bool:
@@ -99,13 +100,13 @@ def _boiler(tag: str, attributes: str, stack: list[tuple[str, int, bool]]) -> tu
     return False, named
 
 
-def pieces(page: str) -> list[Piece | tuple[str, bool]]:
-    """The page's text runs and tags in order; a tag is (name, is boilerplate).
+def pieces(page: str) -> list[Piece | tuple[str, bool, bool]]:
+    """The page's text runs and tags in order; a tag is (name, is boilerplate, is within an article).
 
     An element that class or id name boilerplate isn't if it holds every
     outermost article of the page, or nearly all of its words.
     """
-    found: list[Piece | tuple[str, tuple[int, ...], bool]] = []
+    found: list[Piece | tuple[str, tuple[int, ...], bool, bool]] = []
     named: set[int] = set()
     holds: list[set[int]] = []  # per outermost article the named elements around it
     for x in _parsed(page, named, holds):
@@ -121,18 +122,18 @@ def pieces(page: str) -> list[Piece | tuple[str, bool]]:
                     words[k] += n
         frames |= {k for k, n in words.items() if n >= FRAME * total}
     marked = named - frames
-    out: list[Piece | tuple[str, bool]] = []
+    out: list[Piece | tuple[str, bool, bool]] = []
     for x in found:
         if isinstance(x, Piece):
             if marked and not marked.isdisjoint(x.path):
                 x.kind = "boiler"
             out.append(x)
         else:
-            out.append((x[0], x[2] or not marked.isdisjoint(x[1])))
+            out.append((x[0], x[2] or not marked.isdisjoint(x[1]), x[3]))
     return out
 
 
-def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece | tuple[str, tuple[int, ...], bool]]:
+def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece | tuple[str, tuple[int, ...], bool, bool]]:
     """As ``pieces``, with a tag's path; what is named boilerplate goes to ``named`` and counts as content."""
     stack: list[tuple[str, int, bool]] = []  # element, number, within boilerplate
     block = number = links = 0
@@ -140,7 +141,7 @@ def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece
 
     def piece(raw: str) -> Piece:
         kind = "boiler" if stack and stack[-1][2] else "link" if links else "word"
-        return Piece(raw, block, tuple(x[1] for x in stack), kind)
+        return Piece(raw, block, tuple(x[1] for x in stack), kind, tuple(x[1] for x in stack if x[0] in ARTICLE))
 
     while at < n:
         tag = TOKEN.search(page, at)
@@ -158,7 +159,7 @@ def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece
             yield piece(" ")
         if name in BLOCK:
             block += 1
-        yield name, tuple(x[1] for x in stack), within
+        yield name, tuple(x[1] for x in stack), within, any(x[0] in ARTICLE for x in stack)
         if tag[1]:
             links -= name == "a" and links > 0
             for k in range(len(stack) - 1, -1, -1):
@@ -274,15 +275,18 @@ def extract(page: str | None, weights: Mapping[str, float]) -> str:
     found: list[Piece | None] = []
     scores: list[float] = []
     rest = weights[""]
-    for x in pieces(page or ""):
+    parsed = pieces(page or "")
+    # Boilerplate within the content is left out anyway, and doesn't part what stands around it.
+    whole = not any(x.homes if isinstance(x, Piece) else x[0] in ARTICLE for x in parsed)
+    for x in parsed:
         if isinstance(x, Piece):
             x.text = " ".join(html.unescape(x.text).split()) if x.kind == "boiler" else html.unescape(x.text)
             n = len(x.text.split())
             found.append(x)
-            scores.append(n * weights.get(x.kind, rest))
+            scores.append(0.0 if x.kind == "boiler" and (whole or x.homes) else n * weights.get(x.kind, rest))
         else:
             found.append(None)
-            scores.append(weights.get(f"<{x[0]}>", rest))
+            scores.append(0.0 if x[1] and (whole or x[2]) else weights.get(f"<{x[0]}>", rest))
     start, stop = best_run(scores)
     core = [x for x in found[start:stop] if x is not None and x.kind != "boiler" and x.text.strip()]
     if not core:
@@ -296,6 +300,9 @@ def extract(page: str | None, weights: Mapping[str, float]) -> str:
     # A run that lies in one paragraph is widened to the paragraph's parent.
     if len(path) > 1 and all(x.path == path for x in core):
         path = path[:-1]
+    # A run within an article is widened to the innermost one that holds it.
+    home = max((path.index(k) + 1 for k in core[0].homes if k in path), default=len(path))
+    path = path[:home]
     blocks: dict[int, list[Piece]] = {}
     within = {x.block for x in core}
     for x in found:

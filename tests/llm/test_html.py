@@ -76,6 +76,18 @@ def test_names_do_not_drop_what_holds_the_content(page):
     assert text(page) == WANT
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div class=post"])
+def test_boilerplate_within_the_content_does_not_cut_it(tag):
+    lead, ad = " ".join(f"lead{i}" for i in range(20)), " ".join(f"buy{i}" for i in range(60))
+    page = f"<{tag}><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=ad><p>{ad}</p></div><div class=body>{PARAGRAPHS}{PARAGRAPHS}</div></{tag.split()[0]}>"
+    assert text(page) == f"Title {lead} {WANT} {WANT}"
+
+
+def test_links_within_an_article_do_not_cut_it():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>see this other page</a></li>" for i in range(20)) + "</ul>"
+    assert text(f"<article><div><p>A lead of some words.</p></div>{links}<div>{PARAGRAPHS}</div></article>") == "A lead of some words. " + WANT
+
+
 def test_title_in_an_article_header_stays():
     assert text(f"<div class=article-header><h1>A title of some words</h1></div><div>{PARAGRAPHS}</div>") == "A title of some words " + WANT
 
