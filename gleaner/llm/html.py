@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed lists of HTML: elements by their content model.
-RAW = frozenset("script style noscript template iframe textarea title svg math select object canvas".split())
+RAW = frozenset("script style noscript template iframe textarea title svg select annotation".split())
+#: Of these, those that go on to the end of the page without an end tag, and those that may close themselves.
+ENDLESS, FOREIGN = frozenset("script style textarea title".split()), frozenset(("svg", "annotation"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -138,6 +140,7 @@ def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece
     stack: list[tuple[str, int, bool]] = []  # element, number, within boilerplate
     block = number = links = 0
     at, n = 0, len(page)
+    endless: set[str] = set()
 
     def piece(raw: str) -> Piece:
         kind = "boiler" if stack and stack[-1][2] else "link" if links else "word"
@@ -170,7 +173,12 @@ def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece
                     break
             continue
         if name in RAW:
+            if name in FOREIGN and tag[3].endswith("/") or name in endless:
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end is None and name not in ENDLESS:
+                endless.add(name)  # searched once: no later one has an end tag either
+                continue
             at = end.end() if end else n
             continue
         if name in VOID:

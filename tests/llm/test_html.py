@@ -88,6 +88,17 @@ def test_links_within_an_article_do_not_cut_it():
     assert text(f"<article><div><p>A lead of some words.</p></div>{links}<div>{PARAGRAPHS}</div></article>") == "A lead of some words. " + WANT
 
 
+@pytest.mark.parametrize("start", ["<svg class=i/>", "<svg/>", "<math/>", "<svg>", "<object data=x>", "<canvas>", "<select>", "<noscript>", "<iframe src=x>"])
+def test_elements_without_end_do_not_empty_the_page(start):
+    assert text(f"<body>{start}<article>{PARAGRAPHS}</article>") == WANT
+
+
+def test_math_and_fallback_texts_stay_and_scripts_go_to_the_end():
+    page = "<article><p>Where <math><mi>x</mi><annotation>\\x</annotation></math> is small, <object data=o>an object</object> and <canvas>a canvas</canvas> stand.</p><script>var a = 1; <p>no words</p></article>"
+    assert text(page) == "Where x is small, an object and a canvas stand."
+    assert text(f"<article>{PARAGRAPHS}<svg><text>icon</text></svg><select><option>One</select></article>") == WANT
+
+
 def test_title_in_an_article_header_stays():
     assert text(f"<div class=article-header><h1>A title of some words</h1></div><div>{PARAGRAPHS}</div>") == "A title of some words " + WANT
 
