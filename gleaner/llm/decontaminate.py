@@ -12,14 +12,18 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -111,39 +115,57 @@ END = 1 << 62
 SLACK = 1e-9
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Of all items with words: how many, their mean length, terms' document frequencies, and the longest of each length class."""
+
+    n: int
+    mean: float
+    df: Mapping[bytes, int]
+    longest: list[int]
+
+
+def totals(lengths: Mapping[int, int], df: Mapping[bytes, int]) -> Totals:
+    """``lengths``: how many items have each number of words."""
+    n = sum(lengths.values())
+    longest: list[int] = []
+    for k in sorted(lengths):
+        if not longest or k > CLASS_GROWTH * shortest:
+            shortest = k
+            longest.append(k)
+        longest[-1] = k
+    return Totals(n, sum(k * c for k, c in lengths.items()) / max(1, n), df, longest)
+
+
 class Index:
     """BM25 weights of the items' terms, each divided by its item's score with itself.
 
     So one threshold serves all items. Items stand in order of length and fall
     into classes of about equal length; a class has posting lists and a length
     of passages of its own, twice its longest item. Items without words are
-    left out.
+    left out. ``of`` are the totals where ``items`` are a part of a table.
     """
 
-    def __init__(self, items: list[tuple[object, bytes]]):
+    def __init__(self, items: list[tuple[object, bytes]], of: Totals | None = None):
         rows = sorted(((words, i, item_id, text) for i, (item_id, text) in enumerate(items) if (words := words_of(text))), key=lambda x: (len(x[0]), x[1]))
         self.words = [r[0] for r in rows]
         self.ids = [r[2] for r in rows]
         self.questions = [question_words(r[3]) for r in rows]
-        n = len(rows)
-        mean = sum(map(len, self.words)) / max(1, n)
-        df = Counter(w for words in self.words for w in set(words))
-        self.terms = {w: k for k, w in enumerate(df)}
-        lists: list[dict[int, list[tuple[int, float]]]] = []
-        self.longest: list[int] = []
+        own_df = Counter(w for words in self.words for w in set(words))
+        of = of or totals(Counter(map(len, self.words)), own_df)
+        n, mean, df = of.n, of.mean, of.df
+        self.terms = {w: k for k, w in enumerate(own_df)}
+        self.longest = of.longest
+        lists: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.longest]
         for i, words in enumerate(self.words):
-            if not lists or len(words) > CLASS_GROWTH * shortest:
-                shortest = len(words)
-                lists.append({})
-                self.longest.append(0)
-            self.longest[-1] = len(words)
+            postings = lists[bisect_left(self.longest, len(words))]
             norm = K1 * (1 - B + B * len(words) / mean)
             weights = {
                 w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(words).items()
             }
             own = sum(weights.values())
             for w, x in weights.items():
-                lists[-1].setdefault(self.terms[w], []).append((i, x / own))
+                postings.setdefault(self.terms[w], []).append((i, x / own))
         self.postings = [{t: Postings(*map(list, zip(*r))) for t, r in c.items()} for c in lists]
         self.most = np.zeros((len(self.terms) + 1, len(lists)))
         for c, postings in enumerate(self.postings):
@@ -249,14 +271,33 @@ def leaks(index: Index, text: bytes | None, threshold: float = THRESHOLD, overla
     return out
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(words) of every item that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words for t in batch.column(0) if (words := words_of(t.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], ["words"])
+
+    return rows.select("text").mapInArrow(run, "words array<binary>")
+
+
 def _groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes over groups of items that fit INDEX_BYTES, one after the other."""
+    """Indexes over groups of items that fit INDEX_BYTES, one after the other, with totals over all items: scores and passages are those of one index."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     groups = max(1, math.ceil(1.5 * total / INDEX_BYTES)) if total > INDEX_BYTES else 1
+    distinct = lambda part: _tokens(part).select(F.explode(F.array_distinct("words")).alias("word"))
+    if groups > 1:
+        lengths = {r.n: r["count"] for r in _tokens(rows).groupBy(F.size("words").alias("n")).count().collect()}
+        df = written(distinct(rows).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     for g in range(groups):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g) if groups > 1 else rows
-        yield Index(sorted(((r[0], bytes(r[1])) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1])))
+        part, of = rows, None
+        if groups > 1:
+            part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
+            own = df.join(distinct(part).distinct(), "word", "left_semi").collect()
+            of = totals(lengths, {bytes(r.word): r.df for r in own})
+        yield Index(sorted(((r[0], bytes(r[1])) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1])), of)
 
 
 def _hits(rows: DataFrame, index: Index, item_type: str, threshold: float, overlap: float) -> DataFrame:

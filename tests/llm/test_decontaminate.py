@@ -118,6 +118,17 @@ def test_large_item_tables_are_searched_in_groups(spark, monkeypatch):
     assert set(exact) <= got
 
 
+def test_groups_give_what_one_index_gives(spark, monkeypatch):
+    rows, docs, _ = planted()
+    frames = (
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, t.decode()) for i, t in rows], "item_id long, text string")
+    )
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.bm25_share, 9)) for r in dc.contaminated(*frames).collect())
+    whole = found()
+    monkeypatch.setattr(dc, "INDEX_BYTES", 8000)
+    assert found() == whole
+
+
 def test_edges(spark, edge_docs, no_docs):
     schema = "item_id long, text string, doc_id int, score double"
     bench = spark.createDataFrame(
