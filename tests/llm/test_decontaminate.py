@@ -70,6 +70,93 @@ def test_common_is_a_longest_subsequence():
         assert len(at) == plain_common(a, b) and at == sorted(set(at))
 
 
+def test_common_of_long_items_is_quick():
+    rng = random.Random(9)
+    a = [b"w%d" % rng.randrange(3000) for _ in range(6000)]
+    b = [x for x in a if rng.random() < 0.9]
+    at = dc.common(a, b)
+    assert len(at) == len(b) and [a[i] for i in at] == b
+
+
+def best_common(part, passage):
+    """The longest common subsequence with any of the windows that the operator looks at, by the plain recursion's table."""
+    size, step, best = round(dc.SPREAD * len(part)), max(1, len(part) // 4), 0
+    for at in range(0, max(1, len(passage) - size + step), step):
+        row = [0] * (len(part) + 1)
+        for y in passage[at : at + size]:
+            last, row = row, [0]
+            for i, x in enumerate(part):
+                row.append(max(last[i] + (x == y), last[i + 1], row[i]))
+        best = max(best, row[-1])
+    return best
+
+
+def plain_leaks(rows, text):
+    """Items that some passage holds: every passage against every item, by the formulas alone."""
+    kept = [(i, t) for i, t in rows if dc.words_of(t)]
+    longest = dc.totals(Counter(len(dc.words_of(t)) for _, t in kept), {}).longest
+    words, out = dc.words_of(text), set()
+    for shortest, most in zip([0, *longest], longest):
+        for start in range(0, max(1, len(words) - 2 * most), 2 * most):
+            passage = words[start : start + 4 * most]
+            scores = plain_scores(kept, passage)
+            for i, t in kept:
+                item, q = dc.words_of(t), dc.question_words(t)
+                if shortest < len(item) <= most and scores[i] >= dc.THRESHOLD - 1e-9:
+                    found = [best_common(x, passage) for x in (item[:q], item[q:])]
+                    each = all(n >= dc.EACH * dc.OVERLAP * len(x) - 1e-9 for n, x in zip(found, (item[:q], item[q:])))
+                    if each and sum(found) >= dc.OVERLAP * len(item) - 1e-9:
+                        out.add(i)
+    return out
+
+
+def test_leaks_equal_plain_version():
+    rows, docs, _ = planted(8)
+    rows = rows[:25]
+    rng, index, found = random.Random(10), dc.Index(rows), 0
+    texts = [t for _, t in docs[:60]] + [" ".join(rng.sample(t.decode().split(), 12) + t.decode().split()[2:]) for _, t in rows]
+    for text, got in zip(texts, dc.leaks_of(index, [t.encode() for t in texts])):
+        want = plain_leaks(rows, text.encode())
+        assert {index.ids[k] for k in got} == want
+        found += len(want)
+    assert found > 20
+
+
+def test_texts_in_parts_are_searched_alike(monkeypatch):
+    rows, docs, _ = planted(12)
+    index, texts = dc.Index(rows), [t.encode() for _, t in docs[:50]] + [None, b""]
+    whole = list(dc.leaks_of(index, texts))
+    monkeypatch.setattr(dc, "PART_SIZE", 50)
+    assert list(dc.leaks_of(index, texts)) == whole and any(whole)
+
+
+def altered(words, kind, rng):
+    q = len(words) * 2 // 3
+    if kind == "parted":
+        return words[:q] + [f"g{rng.randrange(900)}" for _ in words] + words[q:]
+    if kind == "dropped":
+        return [w for w in words if rng.random() > 0.1]
+    return [f"g{rng.randrange(900)}" if rng.random() < 0.1 else w for w in words]
+
+
+@pytest.mark.parametrize("kind", ["parted", "dropped", "swapped"])
+def test_recall_of_altered_items(kind):
+    rng = random.Random(11)
+    vocabulary = [f"v{n}" for n in range(5000)]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(15, 60))]
+        cut = len(words) * 2 // 3
+        rows.append((i, (" ".join(words[:cut]) + ". " + " ".join(words[cut:])).encode()))
+    index = dc.Index(rows)
+    filler = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(20, 300)))
+    texts = [f"{filler()} {' '.join(altered([w.decode() for w in dc.words_of(t)], kind, rng))} {filler()}".encode() for _, t in rows]
+    found = sum(i in {index.ids[k] for k in got} for (i, _), got in zip(rows, dc.leaks_of(index, texts)))
+    assert found >= 0.9 * len(rows)
+    clean = [filler().encode() for _ in range(200)]
+    assert not any(dc.leaks_of(index, clean))
+
+
 def test_questions_and_answers():
     assert dc.question_words(b"One two three? Four five.") == 3
     assert dc.question_words(b"one two three four five six seven eight") == 6
