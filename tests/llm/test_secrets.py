@@ -59,6 +59,27 @@ def test_equals_plain_version(spark):
     assert any("entropy_base64" in g[-1] for g in got.values()) and any("entropy_hex" in g[-1] for g in got.values())
 
 
+def test_long_runs_of_any_class(spark):
+    rng = random.Random(8)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60_000))
+    texts = [
+        "Ab1/" * 25_000, "Ab1/" * 25_000 + "A", "/" + "ab-" * 30_000 + "c", base64, "".join(rng.choices("0123456789abcdef", k=40_000)),
+        "".join(rng.choices("0123456789ABCDEF", k=40_000)), "token=abcdefgh1 " * 5000, (base64[:25] + " ") * 3000, ("secret=" + base64[:30] + " " + base64[50:80] + "\n") * 1000,
+        ("A1b2" * 8 + base64[:24]) * 300,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in secrets.scanned(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_ten_megabytes_of_one_run(spark):
+    rng = random.Random(9)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
+    docs = spark.createDataFrame([(0, "Ab1/" * 2_500_000 + "Ab1"), (1, base64)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.spans for r in secrets.scanned(docs).collect()}
+    assert got[0] == "" and got[1].startswith("entropy_base64:0:")
+
+
 def test_allow_list_suppresses(spark):
     docs = spark.createDataFrame([(0, "id 123e4567-e89b-12d3-a456-426614174000 end"), (1, "see Some-Quite-Long-Name-Of-Things2 here")], "doc_id long, text string")
     assert [r.spans for r in secrets.scanned(docs).collect()] == ["", ""]
