@@ -43,8 +43,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source to the same share; ids only, in the global order."""
-    return mixing.mixed(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+    """Every source to the same share, whole documents in the global order."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ from f
 #: tables stay under 8, so that one part draws each.
 MIXING = """
 with d as (
-  select doc_id, source, coalesce(cast(doc_id as varchar), '') as key from documents
+  select *, coalesce(cast(doc_id as varchar), 'text:' || md5(coalesce(text, ''))) as key from documents
 ), s as (
   select source, count(*) as n from d group by source
 ), r as (
@@ -96,13 +96,13 @@ with d as (
 ), l as (
   select source, rate, list(upto order by k) as upto from c group by source, rate
 ), u as (
-  select d.doc_id, d.source, d.key, l.rate, l.upto,
+  select d.*, l.rate, l.upto,
          (('0x' || substr(md5('42|1|' || d.key), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from d join l on d.source is not distinct from l.source
 ), n as (
   select *, len(list_filter(upto, lambda x: x <= u)) as n_copies from u
 )
-select doc_id, source, rate as mix_rate, cast(n_copies as int) as n_copies, cast(i as int) as copy,
+select doc_id, text, lang, source, n_chars, rate as mix_rate, cast(n_copies as int) as n_copies, cast(i as int) as copy,
        md5('42-order|' || i || '|' || key) as order_key
 from (select *, unnest(range(0, n_copies)) as i from n where n_copies > 0)
 """

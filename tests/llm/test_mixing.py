@@ -27,7 +27,7 @@ def plain_count(rate, seed, key):
 
 
 def test_counts_equal_plain_version(spark):
-    docs = spark.createDataFrame([(i, f"s{int(i % 10 > 6) + int(i == 5) * 2}") for i in range(600)], "doc_id long, source string")
+    docs = spark.createDataFrame([(i, f"s{int(i % 10 > 6) + int(i == 5) * 2}", "x") for i in range(600)], "doc_id long, source string, text string")
     weights = {"s0": 0.2, "s1": 0.7, "s2": 0.1}
     rows = mixing.replicated(docs, weights, seed=9).collect()
     got = Counter(r.doc_id for r in rows)
@@ -47,7 +47,7 @@ def test_poisson_moments(spark):
 
 
 def test_default_weights_even_out_sources_in_a_global_order(spark):
-    docs = spark.createDataFrame([(i, "big" if i % 10 else "small") for i in range(5000)], "doc_id long, source string")
+    docs = spark.createDataFrame([(i, "big" if i % 10 else "small", "x") for i in range(5000)], "doc_id long, source string, text string")
     rows = mixing.mixed(docs).collect()
     share = Counter(r.source for r in rows)
     assert share["small"] / len(rows) == pytest.approx(0.5, abs=0.06)
@@ -57,9 +57,29 @@ def test_default_weights_even_out_sources_in_a_global_order(spark):
     assert first["small"] / sum(first.values()) == pytest.approx(0.5, abs=0.1)
 
 
+def test_rows_without_ids_are_drawn_by_their_texts(spark):
+    rows = [(None, f"text {i}", "a") for i in range(1000)] + [(i, "x", "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs, {"a": 0.5, "b": 0.5}).collect()
+    share = Counter(r.source for r in got)
+    assert share["a"] == pytest.approx(2000, rel=0.1) and share["b"] == pytest.approx(2000, rel=0.1)
+    assert len({r.order_key for r in got if r.doc_id is None}) == share["a"]
+    for r in got[::50]:
+        key = str(r.doc_id) if r.doc_id is not None else "text:" + hashlib.md5(r.text.encode()).hexdigest()
+        assert r.n_copies == plain_count(r.mix_rate, 42, key)
+
+
+def test_plan_draws_once(spark):
+    """No second pass over the documents for the global order: ranges are cut without a sample."""
+    docs = spark.range(100).selectExpr("id as doc_id", "'a' as source", "'x' as text")
+    plan = mixing.mixed(docs)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan.lower()
+
+
 def test_edges(edge_docs, no_docs):
     rows = mixing.mixed(edge_docs)
-    assert rows.columns == [*edge_docs.columns, "mix_rate", "n_copies", "copy", "order_key"][: len(edge_docs.columns)] + ["mix_rate", "n_copies", "copy", "order_key"]
+    own = ["mix_rate", "n_copies", "copy", "order_key"]
+    assert rows.columns == [c for c in edge_docs.columns if c not in own] + own
     assert {r.source for r in rows.collect()} <= {None, "a", "b"}
     assert mixing.mixed(no_docs).count() == 0
     assert mixing.mixed(edge_docs, weights={"b": 1.0}).filter("source <> 'b' or source is null").count() == 0
