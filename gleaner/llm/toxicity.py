@@ -29,7 +29,11 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 4000, 8000, 4000
 #: Lengths of the word beginnings, in code points, that back off for whole words.
 STEMS = (6, 5, 4)
 
-#: Standard errors by which a score is lowered, scores' bounds, and what every
+#: Texts that the prior is worth in each class, and what keeps odds finite where
+#: every text has the feature.
+PRIOR, LEAST = 100.0, 0.5
+
+#: Standard errors by which a score is drawn towards 0, scores' bound, and what every
 #: token pays so that a clean text's expected score is negative.
 CAUTION, MOST, DRIFT = 1.5, 6.0, 0.25
 
@@ -54,32 +58,34 @@ def features(token: str) -> list[str]:
 
 
 def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The score of every feature with evidence for toxicity.
-
-    Counts are of texts. The prior gives each feature one text, shared out as
-    the classes are, so that a feature seen in neither has log-odds of 0. The
-    estimate is lowered by CAUTION standard errors; those not above the drift
-    are left out.
+    """The signed score of every feature that tells the classes apart.
+
+    Log-odds ratios under an informative Dirichlet prior (Monroe, Colaresi and
+    Quinn, 2008): feature counts are of texts, and the prior is PRIOR texts of
+    each class with features as frequent as in all texts, so that a feature
+    equally frequent in both has a ratio of 0 however rare it is. The ratio is
+    drawn towards 0 by CAUTION standard errors; those that reach it are left
+    out and score 0.
     """
-    p1, p0 = n_toxic / (n_toxic + n_clean), n_clean / (n_toxic + n_clean)
-    out = {}
-    for name, y1 in toxic.items():
-        y0 = clean.get(name, 0)
-        a, b = y1 + p1, y0 + p0
-        odds = math.log(a / (n_toxic + 1 - y1 + p0)) - math.log(b / (n_clean + 1 - y0 + p1))
-        score = odds - CAUTION * math.sqrt(1 / a + 1 / b)
-        if score > DRIFT:
-            out[name] = min(score, MOST)
+    out, total = {}, n_toxic + n_clean
+    for name in toxic.keys() | clean.keys():
+        y1, y0 = toxic.get(name, 0), clean.get(name, 0)
+        prior = PRIOR * (y1 + y0) / total
+        a, b = y1 + prior, y0 + prior
+        odds = math.log(a / (n_toxic + PRIOR - a + LEAST)) - math.log(b / (n_clean + PRIOR - b + LEAST))
+        score = abs(odds) - CAUTION * math.sqrt(1 / a + 1 / b)
+        if score > 0:
+            out[name] = math.copysign(min(score, MOST), odds)
     return out
 
 
 def score_of(token: str, scores: dict[str, float]) -> float:
-    """The best of the token's features, less the drift."""
-    best = scores.get(token, 0.0)
+    """The strongest score among the token's features, whichever its sign, less the drift; the longest of ties."""
+    out = scores.get(token, 0.0)
     for n in STEMS:
-        if len(token) > n:
-            best = max(best, scores.get(token[:n] + " ", 0.0))
-    return best - DRIFT
+        if len(token) > n and abs(score := scores.get(token[:n] + " ", 0.0)) > abs(out):
+            out = score
+    return out - DRIFT
 
 
 class Values(dict):
@@ -279,7 +285,7 @@ def probability_of(model: Model):
 def scored(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None
 ) -> DataFrame:
-    """Per row doc_id, held_out, score, predicted, n_passages and the worst passage's start and stop in tokens.
+    """Per row doc_id, held_out, score, predicted, n_passages and passages: every significant one's start and stop in tokens and its excess, the worst first.
 
     Nulls: null, empty and wordless texts get the score of a text without
     toxic passages; a null id counts as held out. Repeated rows each get their
@@ -288,7 +294,8 @@ def scored(
     model = fit(sample(docs, labels, id_col, text_col)) if model is None else model
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "score", "predicted", "n_passages", "worst_start", "worst_stop"]
+    names = ["doc_id", "held_out", "score", "predicted", "n_passages", "passages"]
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("excess", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -298,9 +305,9 @@ def scored(
                 found = model.passages(tokens(text.as_py()))
                 z = model.bias + model.slope * math.log1p(sum(x for _, _, x in found))
                 p = 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
-                worst = max(found, key=lambda f: f[2], default=(None, None, 0.0))
-                out.append((p, int(p >= 0.5), len(found), worst[0], worst[1]))
-            kinds = (pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                worst_first = sorted(found, key=lambda f: (-f[2], f[0]))
+                out.append((p, int(p >= 0.5), len(found), [{"start": a, "stop": b, "excess": x} for a, b, x in worst_first]))
+            kinds = (pa.float64(), pa.int32(), pa.int64(), spans)
             columns = list(zip(*out)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names
@@ -308,7 +315,7 @@ def scored(
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_passages long, worst_start long, worst_stop long"
+        run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_passages long, passages array<struct<start:long,stop:long,excess:double>>"
     )
 
 

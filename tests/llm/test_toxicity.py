@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -34,6 +35,50 @@ def test_lambda_solves_its_equation():
     assert (p * np.exp(rate * v)).sum() == pytest.approx(1.0) and rate > 0.01
 
 
+def plain_log_odds(texts, name):
+    """Signed log-odds ratio of a feature under the Dirichlet prior, drawn towards 0 by its standard error."""
+    n = [sum(1 for _, y in texts if y == c) for c in (0, 1)]
+    y = [sum(1 for words, c in texts if c == k and any(name in tox.features(w) for w in words)) for k in (0, 1)]
+    prior = tox.PRIOR * sum(y) / len(texts)
+    side = [math.log((y[k] + prior) / (n[k] + tox.PRIOR - y[k] - prior + tox.LEAST)) for k in (0, 1)]
+    odds = side[1] - side[0]
+    score = abs(odds) - tox.CAUTION * math.sqrt(sum(1 / (y[k] + prior) for k in (0, 1)))
+    return math.copysign(min(score, tox.MOST), odds) if score > 0 else 0.0
+
+
+def test_log_odds_are_signed_and_equal_plain_ones():
+    rng = random.Random(3)
+    texts = [([rng.choice(["bad", "vile", "x", "y"]) for _ in range(9)] if i % 3 == 0 else [rng.choice(["kindness", "x", "y", "z"]) for _ in range(9)], int(i % 3 == 0)) for i in range(300)]
+    scores = tox.log_odds(*tox._counted(texts))
+    names = {f for words, _ in texts for w in words for f in tox.features(w)}
+    assert all(scores.get(f, 0.0) == pytest.approx(plain_log_odds(texts, f)) for f in names)
+    assert scores["bad"] > 1 and scores["kindness"] < -1 and abs(scores.get("x", 0.0)) < 0.1
+
+
+def test_clean_words_end_a_passage():
+    model = tox.Model({"bad": 3.0, "kind": -4.0}, 1.0, 0.1, -3.0, 2.0)
+    assert [x[:2] for x in model.passages("bad bad o bad bad".split())] == [(0, 5)]
+    assert [x[:2] for x in model.passages("bad bad kind kind bad bad".split())] == [(0, 2), (4, 6)]
+
+
+def plain_probability(model, text):
+    """From the definitions: all maximal segments by brute force, those above the length's floor, the logistic of their sum."""
+    words = tox.tokens(text)
+    values = np.array([tox.score_of(w, model.scores) for w in words])
+    floor = math.log(max(model.scale * len(words), 1e-12)) if words else 0.0
+    excess = [model.rate * values[a:b].sum() - floor for a, b in plain_segments(values)] if words else []
+    z = model.bias + model.slope * math.log1p(sum(x for x in excess if x > 0))
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+
+
+def test_query_equals_plain_version(spark):
+    rows = [(i, " ".join(t.split()[:30]), y) for i, t, y in corpus(500, 5)] + [(900, "", 0), (901, None, 0)]
+    docs, labels = frames(spark, rows)
+    model = tox.fit(tox.sample(docs, labels))
+    got = {r.doc_id: r.score for r in tox.scored(docs, labels).collect()}
+    assert all(got[i] == pytest.approx(plain_probability(model, t), abs=1e-9) for i, t, _ in rows)
+
+
 def corpus(n=1500, seed=1):
     rng = random.Random(seed)
     clean = [f"word{i}" for i in range(800)]
@@ -67,7 +112,8 @@ def test_held_out_accuracy_and_passages(spark):
         r = got[i]
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
         if y and r.predicted:
-            worst = tox.tokens(t)[r.worst_start : r.worst_stop]
+            assert r.n_passages == len(r.passages) and [x.excess for x in r.passages] == sorted((x.excess for x in r.passages), reverse=True)
+            worst = tox.tokens(t)[r.passages[0].start : r.passages[0].stop]
             assert any(w in ("vile", "nasty") or w.startswith("grunz") for w in worst)
 
 
