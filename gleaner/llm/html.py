@@ -14,8 +14,9 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Collection, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body head html li dd dt td th tr tbody thead tfoot caption summary figcaption".split())
+ONE_P = frozenset(("p",))
 CLOSED_BY = {
     "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"},
@@ -56,8 +58,9 @@ FRAME = 0.9
 #: Elements that hold one article and may have a header of its own.
 ARTICLE = frozenset(("article", "main"))
 
+#: A quote opens a value after an equals sign alone; anywhere else it is a character like others.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PART = re.compile(r"[a-z]+|\d+")
@@ -65,13 +68,49 @@ PART = re.compile(r"[a-z]+|\d+")
 
 @dataclass
 class Piece:
-    """A run of text with its block's number, its element path and its kind."""
+    """A run of text with its block's number, the element it stands in and its kind; ``home``: within an article."""
 
     text: str
     block: int
-    path: tuple[int, ...]
+    node: int
     kind: str
-    homes: tuple[int, ...] = ()  # of the path, articles
+    home: bool = False
+
+
+@dataclass
+class Tag:
+    name: str
+    node: int
+    boiler: bool
+    home: bool
+
+
+class Tree:
+    """Elements in the order they begin, from 1; 0 is the page. ``up`` is an element's parent, ``last`` the last one within it."""
+
+    def __init__(self):
+        self.up, self.names, self.last = [0], [""], [0]
+
+    def add(self, name: str, up: int) -> int:
+        self.up.append(up)
+        self.names.append(name)
+        self.last.append(len(self.last))
+        return len(self.up) - 1
+
+    def close(self) -> None:
+        """Elements are all there."""
+        for k in range(len(self.up) - 1, 0, -1):
+            self.last[self.up[k]] = max(self.last[self.up[k]], self.last[k])
+
+    def holds(self, node: int, other: int) -> bool:
+        return node <= other <= self.last[node]
+
+    def meet(self, nodes: list[int]) -> int:
+        """The innermost element that holds all ``nodes``: numbers follow the page's order, so that the first and the last one tell."""
+        node, last = min(nodes), max(nodes)
+        while not self.holds(node, last):
+            node = self.up[node]
+        return node
 
 
 def _named(value: str) -> bool:
@@ -83,11 +122,11 @@ def _named(value: str) -> bool:
     return False
 
 
-def _boiler(tag: str, attributes: str, stack: list[tuple[str, int, bool]]) -> tuple[bool, bool]:
+def _boiler(tag: str, attributes: str, home: bool) -> tuple[bool, bool]:
     """Whether the element is boilerplate, and whether class or id name it so, which its content may gainsay."""
     if tag in BOILER_TAGS:
         # The header of an article holds its title.
-        return not (tag == "header" and any(t in ARTICLE for t, _, _ in stack)), False
+        return not (tag == "header" and home), False
     if not attributes or tag in ("body", "html"):
         return False, False
     named = False
@@ -102,49 +141,89 @@ def _boiler(tag: str, attributes: str, stack: list[tuple[str, int, bool]]) -> tu
     return False, named
 
 
-def pieces(page: str) -> list[Piece | tuple[str, bool, bool]]:
-    """The page's text runs and tags in order; a tag is (name, is boilerplate, is within an article).
+def pieces(page: str) -> tuple[list[Piece | Tag], Tree]:
+    """The page's text runs and tags in order, and its elements.
 
     An element that class or id name boilerplate isn't if it holds every
     outermost article of the page, or nearly all of its words.
     """
-    found: list[Piece | tuple[str, tuple[int, ...], bool, bool]] = []
-    named: set[int] = set()
-    holds: list[set[int]] = []  # per outermost article the named elements around it
-    for x in _parsed(page, named, holds):
-        found.append(x)
-    frames = set.intersection(*holds) if holds else set()
-    if named - frames:
-        words, total = Counter(), 0
+    tree, named, outermost = Tree(), [], []
+    found = list(_parsed(page, tree, named, outermost))
+    tree.close()
+    held = [k for k in named if not (outermost and all(tree.holds(k, n) for n in (outermost[0], outermost[-1])))]
+    if held:
+        words = [0] * (len(tree.up) + 1)
         for x in found:
             if isinstance(x, Piece) and x.kind == "word":
-                n = len(x.text.split())
-                total += n
-                for k in named.intersection(x.path):
-                    words[k] += n
-        frames |= {k for k, n in words.items() if n >= FRAME * total}
-    marked = named - frames
-    out: list[Piece | tuple[str, bool, bool]] = []
-    for x in found:
-        if isinstance(x, Piece):
-            if marked and not marked.isdisjoint(x.path):
-                x.kind = "boiler"
-            out.append(x)
-        else:
-            out.append((x[0], x[2] or not marked.isdisjoint(x[1]), x[3]))
-    return out
+                words[x.node] += len(x.text.split())
+        upto = [0, *accumulate(words)]
+        held = [k for k in held if upto[tree.last[k] + 1] - upto[k] < FRAME * upto[-1] or not upto[-1]]
+    if held:
+        # Elements within a marked one are marked as well.
+        marked = bytearray(len(tree.up))
+        for k in held:
+            marked[k] = 1
+        for k in range(1, len(tree.up)):
+            marked[k] |= marked[tree.up[k]]
+        for x in found:
+            if marked[x.node]:
+                if isinstance(x, Piece):
+                    x.kind = "boiler"
+                else:
+                    x.boiler = True
+    return found, tree
+
+
+class Stack:
+    """Open elements: name, number and whether they are boilerplate; counts of open names spare searches in vain."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int, bool]] = []
+        self.open: Counter = Counter()
+
+    @property
+    def node(self) -> int:
+        return self.items[-1][1] if self.items else 0
+
+    @property
+    def boiler(self) -> bool:
+        return bool(self.items) and self.items[-1][2]
 
+    @property
+    def home(self) -> bool:
+        return any(self.open[x] for x in ARTICLE)
 
-def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece | tuple[str, tuple[int, ...], bool, bool]]:
-    """As ``pieces``, with a tag's path; what is named boilerplate goes to ``named`` and counts as content."""
-    stack: list[tuple[str, int, bool]] = []  # element, number, within boilerplate
-    block = number = links = 0
+    def push(self, name: str, node: int, boiler: bool) -> None:
+        self.items.append((name, node, boiler))
+        self.open[name] += 1
+
+    def cut(self, k: int) -> None:
+        for name, _, _ in self.items[k:]:
+            self.open[name] -= 1
+        del self.items[k:]
+
+    def cut_at(self, names: Collection[str], stop: bool) -> None:
+        """End the innermost open element of ``names``; with ``stop`` none beyond the scope."""
+        if not any(self.open[x] for x in names):
+            return
+        for k in range(len(self.items) - 1, -1, -1):
+            name = self.items[k][0]
+            if name in names:
+                self.cut(k)
+                return
+            if stop and name in SCOPE:
+                return
+
+
+def _parsed(page: str, tree: Tree, named: list[int], outermost: list[int]) -> Iterator[Piece | Tag]:
+    """As ``pieces``; what is named boilerplate goes to ``named`` and counts as content, articles outside of others to ``outermost``."""
+    stack = Stack()
+    block = links = 0
     at, n = 0, len(page)
     endless: set[str] = set()
 
     def piece(raw: str) -> Piece:
-        kind = "boiler" if stack and stack[-1][2] else "link" if links else "word"
-        return Piece(raw, block, tuple(x[1] for x in stack), kind, tuple(x[1] for x in stack if x[0] in ARTICLE))
+        return Piece(raw, block, stack.node, "boiler" if stack.boiler else "link" if links else "word", stack.home)
 
     while at < n:
         tag = TOKEN.search(page, at)
@@ -157,20 +236,14 @@ def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece
         if tag[2] is None:
             continue
         name = tag[2].lower()
-        within = bool(stack) and stack[-1][2]
         if name == "br":
             yield piece(" ")
         if name in BLOCK:
             block += 1
-        yield name, tuple(x[1] for x in stack), within, any(x[0] in ARTICLE for x in stack)
+        yield Tag(name, stack.node, stack.boiler, stack.home)
         if tag[1]:
             links -= name == "a" and links > 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE and name not in BLOCK:
-                    break
+            stack.cut_at((name,), name not in BLOCK)
             continue
         if name in RAW:
             if name in FOREIGN and tag[3].endswith("/") or name in endless:
@@ -183,24 +256,19 @@ def _parsed(page: str, named: set[int], holds: list[set[int]]) -> Iterator[Piece
             continue
         if name in VOID:
             continue
-        closed = CLOSED_BY.get(name, ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in closed or name in CLOSES_P and stack[k][0] == "p":
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE:
-                break
+        closed = CLOSED_BY.get(name, frozenset()) | (ONE_P if name in CLOSES_P else frozenset())
+        if closed:
+            stack.cut_at(closed, True)
         if name in BLOCK or tag[3]:
             if tag[3].endswith("/") and name not in BLOCK:
                 continue
-            number += 1
-            within = bool(stack) and stack[-1][2]
-            sure, by_name = _boiler(name, tag[3], stack)
+            node = tree.add(name, stack.node)
+            sure, by_name = _boiler(name, tag[3], stack.home)
             if by_name:
-                named.add(number)
-            if name in ARTICLE and not within and not any(x[0] in ARTICLE for x in stack):
-                holds.append(named.intersection(x[1] for x in stack))
-            stack.append((name, number, within or sure))
+                named.append(node)
+            if name in ARTICLE and not stack.boiler and not stack.home:
+                outermost.append(node)
+            stack.push(name, node, stack.boiler or sure)
         links += name == "a"
 
 
@@ -227,11 +295,8 @@ April sah man wieder den Boden, und die Felder standen unter Wasser.</p></main>]
 def _tokens(page: str) -> list[tuple[str, int]]:
     """(kind, how many): words of a text run, and tags."""
     out = []
-    for x in pieces(page):
-        if isinstance(x, Piece):
-            out.append((x.kind, len(x.text.split())))
-        else:
-            out.append((f"<{x[0]}>", 1))
+    for x in pieces(page)[0]:
+        out.append((x.kind, len(x.text.split())) if isinstance(x, Piece) else (f"<{x.name}>", 1))
     return out
 
 
@@ -280,41 +345,34 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: Mapping[str, float]) -> str:
     """The main text: its blocks in page order, joined by one space."""
-    found: list[Piece | None] = []
     scores: list[float] = []
     rest = weights[""]
-    parsed = pieces(page or "")
+    found, tree = pieces(page or "")
     # Boilerplate within the content is left out anyway, and doesn't part what stands around it.
-    whole = not any(x.homes if isinstance(x, Piece) else x[0] in ARTICLE for x in parsed)
-    for x in parsed:
+    whole = not any(x.home or isinstance(x, Tag) and x.name in ARTICLE for x in found)
+    for x in found:
         if isinstance(x, Piece):
-            x.text = " ".join(html.unescape(x.text).split()) if x.kind == "boiler" else html.unescape(x.text)
-            n = len(x.text.split())
-            found.append(x)
-            scores.append(0.0 if x.kind == "boiler" and (whole or x.homes) else n * weights.get(x.kind, rest))
+            x.text = html.unescape(x.text)
+            scores.append(0.0 if x.kind == "boiler" and (whole or x.home) else len(x.text.split()) * weights.get(x.kind, rest))
         else:
-            found.append(None)
-            scores.append(0.0 if x[1] and (whole or x[2]) else weights.get(f"<{x[0]}>", rest))
+            scores.append(0.0 if x.boiler and (whole or x.home) else weights.get(f"<{x.name}>", rest))
     start, stop = best_run(scores)
-    core = [x for x in found[start:stop] if x is not None and x.kind != "boiler" and x.text.strip()]
+    core = [x for x in found[start:stop] if isinstance(x, Piece) and x.kind != "boiler" and x.text.strip()]
     if not core:
         return ""
-    path = core[0].path
-    for x in core[1:]:
-        k = 0
-        while k < min(len(path), len(x.path)) and path[k] == x.path[k]:
-            k += 1
-        path = path[:k]
+    top = tree.meet([x.node for x in core])
     # A run that lies in one paragraph is widened to the paragraph's parent.
-    if len(path) > 1 and all(x.path == path for x in core):
-        path = path[:-1]
+    if all(x.node == top for x in core):
+        top = tree.up[top]
     # A run within an article is widened to the innermost one that holds it.
-    home = max((path.index(k) + 1 for k in core[0].homes if k in path), default=len(path))
-    path = path[:home]
+    home = top if core[0].home else 0
+    while home and tree.names[home] not in ARTICLE:
+        home = tree.up[home]
+    top = home or top
     blocks: dict[int, list[Piece]] = {}
     within = {x.block for x in core}
     for x in found:
-        if x is not None and x.kind != "boiler" and x.path[: len(path)] == path:
+        if isinstance(x, Piece) and x.kind != "boiler" and tree.holds(top, x.node):
             blocks.setdefault(x.block, []).append(x)
     kept = (b for n, b in blocks.items() if n in within or not _mostly_links(b))
     return " ".join(t for b in kept if (t := " ".join("".join(x.text for x in b).split())))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -122,6 +123,58 @@ def test_very_long_page_is_linear():
     assert len(text(page)) == 50_000 * 16 - 1
 
 
+@pytest.mark.parametrize("opens", ["<div>", "<span class=x>", "<div class=a><p>some text</p>", "<b class=x><p>", "<section><ul><li>item"])
+def test_deep_pages_are_linear(opens):
+    began = time.perf_counter()
+    assert WANT in text(opens * 20_000 + f"<article>{PARAGRAPHS}</article>" + "</table></i></div>" * 20_000)
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div data-x=it's><article>{PARAGRAPHS}</article></div><p title=don't></p>",
+        f"<body><div data-a=5\" class=x><article title='a>b' data-y = \"c>d\">{PARAGRAPHS}</article>",
+        f"<article class=\"one>{PARAGRAPHS}</article>",
+    ],
+)
+def test_quotes_within_values(page):
+    assert text(page) == WANT
+
+
+def made(rng):
+    """A page of known parts, and the text that it should give."""
+    sentence = lambda k: " ".join(rng.choice(["river", "stone", "bread", "und", "ciudad", "été", "Q&amp;A", "x&lt;y", "caf&eacute;", "no&nbsp;one"]) for _ in range(k)) + "."
+    plain = lambda t: " ".join(__import__("html").unescape(t).split())
+    links = lambda k: "".join(f"<li><a href='/{i}'>{sentence(2)}</a></li>" for i in range(k))
+    noise = [
+        lambda: f"<nav><ul>{links(6)}</ul></nav>", lambda: f"<div class='ad'>{sentence(8)}</div>", lambda: f"<aside><h3>{sentence(3)}</h3><ul>{links(4)}</ul></aside>",
+        lambda: f"<footer><p>{sentence(9)}</p></footer>", lambda: f"<form action=/s><input name=q><label>{sentence(3)}</label></form>",
+        lambda: f"<script>if (a<b) {{ c('<p>{sentence(4)}</p>') }}</script>", lambda: f"<div id=\"sidebar\"><p>{sentence(12)}</p></div>",
+        lambda: f"<div class=cookie-notice>{sentence(10)}</div>", lambda: f"<!-- <p>{sentence(5)}</p> -->", lambda: f"<style>p{{a:b}}</style><div class='social share'>{links(3)}</div>",
+    ]
+    blocks, want = [], []
+    for _ in range(rng.randint(4, 12)):
+        words = sentence(rng.randint(10, 50))
+        form = rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<div><p>{}</p></div>", "<ul><li>{}</li></ul>", "<p class=lead>{}\n\t </p>", "<section><p><b>{}</b></p></section>"])
+        blocks.append(form.format(words))
+        want.append(plain(words))
+        if rng.random() < 0.2:
+            blocks.append(rng.choice(noise)())
+    tag = rng.choice(["article", "main", "div class=post", "div", "section"])
+    around = lambda: "".join(rng.choice(noise)() for _ in range(rng.randint(0, 3)))
+    after = f"<div class=comments><h3>Comments</h3><p>{sentence(25)}</p><p>{sentence(25)}</p></div>" if rng.random() < 0.5 else ""
+    page = f"<html><head><title>{sentence(4)}</title></head><body>{around()}<{tag}>{''.join(blocks)}</{tag.split()[0]}>{after}{around()}</body></html>"
+    return page, " ".join(want)
+
+
+def test_pages_of_known_parts_give_back_their_articles():
+    rng = random.Random(21)
+    for _ in range(300):
+        page, want = made(rng)
+        assert text(page) == want, page
+
+
 def test_edges(spark):
     schema = "page_id long, url string, html string, text string, n_chars int"
     pages = spark.createDataFrame([(1, None, None, "t", 1), (None, "u", f"<p>{PARAGRAPHS}</p>", "t", 2), (2, "u", "<p>é\U0001f600</p>", None, None)] * 2, schema)
