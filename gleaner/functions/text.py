@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,11 +78,11 @@ def weighted_bag(parts: list[tuple[Column, int]]) -> Column:
     return out
 
 
-def by_family_weight(token: Column, weights: Mapping[str, float], default: float = 1.0) -> Column:
-    """The weight of the token's serve family."""
+def by_family_weight(token: Column, weights: Mapping[str, float], default: float = 1.0, of: Callable[[Column], Column] = serve_family) -> Column:
+    """The weight of the token's family, which ``of`` names."""
     out = F.lit(default)
     for name, w in weights.items():
-        out = F.when(serve_family(token) == name, F.lit(float(w))).otherwise(out)
+        out = F.when(of(token) == name, F.lit(float(w))).otherwise(out)
     return out
 
 

@@ -8,12 +8,12 @@ numbered. Ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import by_family_weight
+from ..functions.text import by_family_weight, serve_family
 from .index import Index
 from .sizes import within
 
@@ -34,9 +34,9 @@ def query_terms(queries: DataFrame, fields: Mapping[str, Column], qid: str = "qi
     return counted.withColumn("qtf", F.lit(1.0)) if distinct else counted
 
 
-def weighted(terms: DataFrame, weights: Mapping[str, float], default: float = 1.0) -> DataFrame:
-    """Query terms times the weight of their token's family; those of weight 0 go."""
-    return terms.withColumn("qtf", F.col("qtf") * by_family_weight(F.col("token"), weights, default)).filter("qtf > 0")
+def weighted(terms: DataFrame, weights: Mapping[str, float], default: float = 1.0, of: Callable[[Column], Column] = serve_family) -> DataFrame:
+    """Query terms times the weight of their token's family, which ``of`` names; those of weight 0 go."""
+    return terms.withColumn("qtf", F.col("qtf") * by_family_weight(F.col("token"), weights, default, of)).filter("qtf > 0")
 
 
 def idf(index: Index, scheme: str = "lucene") -> DataFrame:

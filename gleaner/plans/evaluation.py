@@ -11,7 +11,7 @@ from ..operators import evaluate as ev
 from ..operators import rerank as rr
 from ..operators import sampling as sa
 from ..sources.tables import table
-from .retrieval import EVERY, PAGES, corpus, pool, query_hits, rounded
+from .retrieval import EVERY, PAGES, corpus, pool, query_hits, rounded, with_tokens
 from .similarity import SETS
 
 KS = (1, 5, 10)
@@ -129,9 +129,8 @@ RERANK_WEIGHTS = {"bm25": 0.25, "tactic": 0.30, "pv_length": 0.05, "rating": 0.1
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
     """Pooled pairs with tokens, numbers of characters and ranks."""
-    docs = table(spark, sf, "documents").select("doc_id", word_tokens(F.col("text")).alias("tokens"), "n_chars")
-    q = docs.select(F.col("doc_id").alias("qid"), F.col("tokens").alias("q"), F.col("n_chars").alias("q_chars"))
-    return query_hits(spark, sf, 20).join(docs.withColumnRenamed("tokens", "c"), "doc_id").join(q, "qid")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    return with_tokens(query_hits(spark, sf, 20), docs).withColumnRenamed("q_n_chars", "q_chars")
 
 
 def weighted_rerank(spark: SparkSession, sf: str) -> DataFrame:

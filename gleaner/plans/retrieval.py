@@ -19,7 +19,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_field() -> dict[str, F.Column]:
-    """Made when it is used: the text is shuffled, not its tokens."""
+    """The one field of documents: their words."""
     return {"text": word_tokens(F.col("text"))}
 
 
@@ -75,26 +75,31 @@ SCORES = "scores as (select qid, doc_id, round(sum(qtf * w), 9) as score from we
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten documents most like document 7, without itself."""
+    """The ten documents most like every fiftieth one, without itself."""
     docs = documents(spark, sf)
-    terms = se.query_terms(docs.filter("doc_id = 7"), text_field(), qid="doc_id")
+    terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), text_field(), qid="doc_id")
     hits = se.search(ix.build(docs, text_field(), only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id"))
     return rounded(hits)
 
 
 BM25_TOPK = f"""with {corpus(DOCUMENTS)},
-q as (select doc_id as qid, field, token, tf as qtf from post where doc_id = 7), {SCORES}
+q as (select doc_id as qid, field, token, tf as qtf from post where doc_id % {EVERY} = 0), {SCORES}
 {top(10, "qid <> doc_id")}"""
 
 
 def bm25_okapi_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The other scheme, for every fiftieth document; lists that hits don't fill go on with score 0."""
     docs = documents(spark, sf)
-    terms = se.query_terms(docs.filter("doc_id = 7"), text_field(), qid="doc_id")
+    terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), text_field(), qid="doc_id")
     return rounded(se.search_all(ix.build(docs, text_field()), terms, docs, 10))
 
 
 BM25_OKAPI_TOPK = f"""with {corpus(DOCUMENTS, "okapi")},
-q as (select doc_id as qid, field, token, tf as qtf from post where doc_id = 7), {SCORES}
+q as (select doc_id as qid, field, token, tf as qtf from post where doc_id % {EVERY} = 0),
+hits as (select qid, doc_id, round(sum(qtf * w), 9) as score from weighted join q using (field, token) group by all),
+spare as (select doc_id from documents order by doc_id limit 20),
+scores as (select * from hits union all select qid, doc_id, 0.0 from (select distinct qid from q) as q cross join spare
+  where not exists (select 1 from hits h where h.qid = q.qid and h.doc_id = spare.doc_id))
 {top(10)}"""
 
 
@@ -128,16 +133,16 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_group_exclusion(spark: SparkSession, sf: str) -> DataFrame:
-    """For every fiftieth conversation's first turn, the five most similar turns of other conversations."""
+    """For every turn of each fiftieth conversation, the five most similar turns of other conversations."""
     rows = turns(spark, sf)
-    terms = se.query_terms(rows.filter(f"turn = 1 and conv_id % {EVERY} = 0"), text_field(), qid="doc_id")
+    terms = se.query_terms(rows.filter(f"conv_id % {EVERY} = 0"), text_field(), qid="doc_id")
     hits = se.search(ix.build(rows, text_field(), only=terms), terms, 5, exclude=se.same_group(F.col("qid"), F.col("doc_id")))
     return rounded(hits)
 
 
 BM25_GROUP = f"""with {corpus("select 'text' as field, conv_id || '_' || turn as doc_id, text from conversations")},
 q as (select doc_id as qid, field, token, tf as qtf from post
-      where doc_id in (select conv_id || '_' || turn from conversations where turn = 1 and conv_id % {EVERY} = 0)), {SCORES}
+      where doc_id in (select conv_id || '_' || turn from conversations where conv_id % {EVERY} = 0)), {SCORES}
 {top(5, "split_part(qid, '_', 1) <> split_part(doc_id, '_', 1)")}"""
 
 
@@ -155,10 +160,7 @@ def bm25_family_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Query terms weighted by family: every fiftieth document against all, ten hits."""
     docs = documents(spark, sf)
     terms = se.query_terms(docs.filter(f"doc_id % {EVERY} = 0"), text_field(), qid="doc_id")
-    w = F.lit(0.0)
-    for name, x in SHAPES.items():
-        w = F.when(shape(F.col("token")) == name, x).otherwise(w)
-    terms = terms.withColumn("qtf", F.col("qtf") * w)
+    terms = se.weighted(terms, SHAPES, of=shape)
     return rounded(se.search(ix.build(docs, text_field(), only=terms), terms, 10, exclude=F.col("qid") == F.col("doc_id")))
 
 
@@ -220,9 +222,9 @@ select field, n, round(avgdl, 6) as avgdl, (select count(*) from raw) as n_terms
 
 
 def retrieve_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored document's own tokens as the query, ten hits."""
+    """Stored documents' own tokens as queries, ten hits each."""
     built = document_index(spark, sf)
-    ids = spark.range(7, 8).select(F.col("id").alias("qid"), F.col("id").alias("doc_id"))
+    ids = documents(spark, sf).filter(f"doc_id % {EVERY} = 0").select(F.col("doc_id").alias("qid"), "doc_id")
     terms = se.terms_of(built, "text", ids)
     return rounded(se.search(built, terms, 10, exclude=F.col("qid") == F.col("doc_id")))
 
@@ -234,6 +236,19 @@ def query_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return se.search(ix.build(docs, text_field(), only=terms), terms, k, exclude=F.col("qid") == F.col("doc_id"))
 
 
+def with_tokens(hits: DataFrame, docs: DataFrame, of=lambda tokens: tokens) -> DataFrame:
+    """``hits`` with the tokens q of the query and c of the document, and both sides' other columns.
+
+    Tokens are made of the query set, and after the join of what was hit, not
+    of every document.
+    """
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    q = docs.filter(f"doc_id % {EVERY} = 0").select(
+        F.col("doc_id").alias("qid"), of(word_tokens(F.col("text"))).alias("q"), *(F.col(c).alias(f"q_{c}") for c in more)
+    )
+    return hits.join(docs, "doc_id").withColumn("c", of(word_tokens(F.col("text")))).drop("text").join(q, "qid")
+
+
 def pool(k: int) -> str:
     """The same in SQL, up to a table ``pool``."""
     return f"""{corpus(DOCUMENTS)},

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..functions.text import word_tokens
 from ..sources.tables import table
-from .retrieval import documents, pool, query_hits, rounded
+from .retrieval import documents, pool, query_hits, rounded, with_tokens
 
 
 def pairs(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    """(qid, doc_id, rank, q, c): pooled pairs with both token arrays."""
-    docs = documents(spark, sf).select("doc_id", F.array_distinct(word_tokens(F.col("text"))).alias("tokens"))
-    q = docs.select(F.col("doc_id").alias("qid"), F.col("tokens").alias("q"))
-    return query_hits(spark, sf, k).join(docs.withColumnRenamed("tokens", "c"), "doc_id").join(q, "qid")
+    """(qid, doc_id, rank, q, c): pooled pairs with both sets of tokens."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    return with_tokens(query_hits(spark, sf, k), docs, F.array_distinct)
 
 
 SETS = f"""with {pool(20)},

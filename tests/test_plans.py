@@ -51,13 +51,22 @@ def test_entry(spark):
     import __spark_entry__
 
     rows = __spark_entry__.entry(spark).collect()
-    assert len(rows) == 10 and set(CATALOGUE) <= set(__spark_entry__.queries())
+    assert len(rows) == 10 * 4 and set(CATALOGUE) <= set(__spark_entry__.queries())
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_searches_shuffle_no_text(spark):
+    from gleaner.plans import retrieval, similarity
+
+    for run in (retrieval.bm25_topk, retrieval.bm25_batch_queries, retrieval.document_index(spark, FOLDER).postings, retrieval.rrf_two_fields):
+        text = plan_of(run(spark, FOLDER) if callable(run) else run)
+        exchanged = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("text" in line or "tokens" in line or "body" in line for line in exchanged)
+
+
 def test_plans_prune_and_cut(spark):
     """Columns and filters reach the scan; ranks are cut before the shuffle."""
     from gleaner.plans import relational, retrieval
