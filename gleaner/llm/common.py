@@ -20,13 +20,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests, one machine) is one made here.
+    Only where the session names none and runs on one machine (tests) is one
+    made here. On a cluster each machine would write to its own disk, so there
+    the lack of one is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
     return context.getCheckpointDir().rstrip("/")
 

@@ -8,18 +8,20 @@ rows move into its subtree alone; no other subtree exchanges rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hinted, written
+from .common import durable, hinted, written
 
 #: Digits of md5 that make a draw: 13 hexadecimal digits fit a double exactly.
 DIGITS = 13
 
-#: Sub-buckets of a shard, so that numbering it takes many tasks.
-SLICES = 64
+#: Slices of a group at least, so that numbering it takes many tasks, and the
+#: rows meant for one.
+SLICES, SLICE_ROWS = 64, 50_000
 
 
 @dataclass(frozen=True)
@@ -80,27 +82,46 @@ def assign(docs: DataFrame, tree: Node, id_col: str = "doc_id", out: str = "shar
     return docs.withColumn(out, shard_of(F.col(id_col).cast("string"), tree).cast("int"))
 
 
-def numbered(rows: DataFrame, group: str, order: list[Column], spread: Column, groups: int, out: str = "slot", slices: int = SLICES) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: list[Column], spread: Column, groups: int, out: str = "slot", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``rows`` with a gapless number from 0 within each of at most ``groups`` groups.
 
-    Each group is cut into ``slices`` by the hash ``spread``; slices are
-    counted, a slice starts where those before it end, and only a slice's rows
-    meet in one task. The numbers follow from the rows alone, so a lost task
-    computed again gives the same. ``spread`` and ``order`` must follow from
-    the row's values; rows equal in both may swap numbers.
+    Each group is cut by the hash ``spread`` into slices of about
+    ``slice_rows``; slices are counted, a slice starts where those before it
+    end, and only a slice's rows meet in one task. ``spread`` and ``order``
+    must follow from the row's values; rows equal in both may swap numbers.
+    So the numbers follow from the rows alone, and a lost task computed again
+    gives the same. Where more rows than a slice should hold are equal in
+    ``spread``, their place in the input, which must be files, deals them to
+    slices of their own.
     """
-    cut, at = f"__{out}_slice", f"__{out}_start"
-    rows = rows.withColumn(cut, F.pmod(F.xxhash64(spread), F.lit(slices)).cast("int"))
-    sizes = rows.groupBy(group, cut).count()
-    before = Window.partitionBy(group).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col(group).alias("__group"), F.col(cut).alias("__cut"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(at)
-    )
+    key, cut, at = f"__{out}_key", f"__{out}_slice", f"__{out}_start"
+    rows = rows.withColumn(key, F.xxhash64(spread))
+    counted = durable(rows.groupBy(F.col(group).alias("__group"), F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")))
+    total, most = counted.agg(F.sum("__n"), F.max("__n")).first()
+    slices = max(SLICES, math.ceil((total or 0) / groups / slice_rows))
+
+    def slice_of(key: str, salt: Column) -> Column:
+        return F.pmod(F.xxhash64(key, salt), F.lit(slices)).cast("int")
+
+    whole = F.lit(0).cast("long")
+    if (most or 0) > slice_rows:
+        # One of slice_rows rows at most is a row here.
+        hot = durable(counted.filter(F.col("__n") > slice_rows).withColumn("__n", F.ceil(F.col("__n") / slice_rows)))
+        same = F.col(group).eqNullSafe(F.col("__group")) & (F.col(key) == F.col("__key"))
+        rows = rows.withColumn(at, F.monotonically_increasing_id()).join(hinted(hot, hot.count(), 32), same, "left")
+        salt = F.when(F.col("__n").isNotNull(), F.pmod(F.col(at), F.col("__n"))).otherwise(whole)
+        rows = rows.withColumn(cut, slice_of(key, salt)).drop("__group", "__key", "__n", at)
+        sizes = rows.groupBy(F.col(group).alias("__group"), F.col(cut).alias("__cut")).agg(F.count(F.lit(1)).alias("__n"))
+    else:
+        rows = rows.withColumn(cut, slice_of(key, whole))
+        sizes = counted.groupBy("__group", slice_of("__key", whole).alias("__cut")).agg(F.sum("__n").alias("__n"))
+    before = Window.partitionBy("__group").orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__group", "__cut", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(at))
     within = Window.partitionBy(group, cut).orderBy(*order)
     joined = rows.withColumn(out, F.row_number().over(within)).join(
         hinted(starts, slices * groups, 24), F.col(group).eqNullSafe(F.col("__group")) & (F.col(cut) == F.col("__cut"))
     )
-    return joined.withColumn(out, (F.col(out) - 1 + F.col(at)).cast("long")).drop("__group", "__cut", cut, at)
+    return joined.withColumn(out, (F.col(out) - 1 + F.col(at)).cast("long")).drop("__group", "__cut", key, cut, at)
 
 
 def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,6 +38,10 @@ SHARD_ROWS, MAX_SHARDS = 1 << 12, 16384
 #: Fingerprints per shard on which the shards' tree is fitted.
 SAMPLE_PER_SHARD = 128
 
+#: A larger shard, which the tree could not split, is cut into parts of about
+#: this size by hash, and every pair of parts is a task.
+HEAVY = 1 << 15
+
 #: Sets up to this size are compared whole.
 LEAF = 512
 
@@ -234,8 +238,21 @@ def links(distinct: DataFrame, link: int = LINK) -> DataFrame:
         tied = roots != np.arange(len(fps))
         return pd.DataFrame({"a": fps[roots[tied]], "b": fps[tied]})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long")
-    return dealt.groupBy("shard").applyInPandas(meet, "a long, b long")
+    dealt = written(distinct.select("fp").mapInArrow(deal, "shard int, fp long"))
+    return _paired(dealt).groupBy("shard", "i", "j").applyInPandas(meet, "a long, b long")
+
+
+def _paired(dealt: DataFrame, heavy: int | None = None) -> DataFrame:
+    """(shard, i, j, fp): every two fingerprints of a shard meet in a pair (i, j) of its parts; a shard of usual size has one part."""
+    heavy = HEAVY if heavy is None else heavy
+    # A row for each shard that is too large, MAX_SHARDS at most.
+    sizes = durable(dealt.groupBy("shard").count().filter(F.col("count") > heavy).select("shard", F.ceil(F.col("count") / heavy).cast("int").alias("parts")))
+    if sizes.isEmpty():
+        return dealt.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    rows = dealt.join(F.broadcast(sizes), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
@@ -286,8 +303,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return kept
     chosen = found.filter("doc_id <=> component_id").groupBy("class_fingerprint").agg(F.min(F.struct("fingerprint", "doc_id")).alias("c"))
     chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.fingerprint").alias("__of"))
-    simhash = F.udf(lambda t: format(fingerprint(None if t is None else t.encode()) & (2**BITS - 1), f"0{BITS // 4}x"))
+
+    @F.pandas_udf("long")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return texts.map(fingerprint).astype("int64")
+
     alike = docs.join(again, F.col(id_col) == F.col("__again"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
-    alike = alike.withColumn("__fp", simhash(F.col(text_col)))
+    alike = alike.withColumn("__fp", _hex(simhash(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of"))
     return kept.unionByName(alike.join(chosen, same, "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp"))

@@ -3,6 +3,8 @@ import math
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from gleaner.llm import sharding
 
 
@@ -55,6 +57,18 @@ def test_weightless_nodes_get_nothing(spark):
     assert {r.shard for r in sharding.assign(spark.range(50).withColumnRenamed("id", "doc_id"), tree).collect()} == {1}
 
 
+def test_equal_rows_are_numbered_in_slices_of_their_own(spark, tmp_path):
+    rows = [(7, "hot", 0)] * 900 + [(i, "x", i % 2) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spread = F.struct("doc_id", "text")
+    out = sharding.numbered(docs, "shard", [F.col("doc_id"), F.col("text")], spread, 2, slice_rows=20)
+    for shard in (0, 1):
+        slots = sorted(r.slot for r in out.filter(F.col("shard") == shard).collect())
+        assert slots == list(range(sum(r[2] == shard for r in rows)))
+    assert out.columns == ["doc_id", "text", "shard", "slot"]
+
+
 def test_edges(edge_docs, no_docs):
     rows = sharding.sharded(edge_docs).collect()
     assert len(rows) == edge_docs.count()

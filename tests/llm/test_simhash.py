@@ -130,6 +130,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted(plain_components(rows))
 
 
+def test_a_dense_ball_is_spread_over_tasks(spark, monkeypatch):
+    """Fingerprints that no vantage point parts: pairs of parts are tasks, and no link is lost."""
+    ball = sorted({(1 << a) ^ (1 << b) ^ (1 << c) for a in range(16) for b in range(16) for c in range(16)})
+    chain = [(1 << 60) | sum(1 << k for k in range(20, 20 + n)) for n in range(0, 40, 3)]
+    fps = spark.createDataFrame([(x,) for x in ball + chain], "fp long")
+    want = {r["node"]: r["root"] for r in graph.components(simhash.links(fps)).collect()}
+    monkeypatch.setattr(simhash, "HEAVY", 50)
+    paired = simhash._paired(spark.createDataFrame([(0, x) for x in ball], "shard int, fp long"))
+    sizes = [r["count"] for r in paired.groupBy("shard", "i", "j").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 200
+    got = {r["node"]: r["root"] for r in graph.components(simhash.links(fps)).collect()}
+    assert got == want and len({got[x] for x in ball if x in got}) == 1
+
+
 def test_edges(spark, edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     got = simhash.near_duplicates(edge_docs).collect()
