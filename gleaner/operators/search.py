@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fen import drop_san_repaired
 from ..functions.text import by_family_weight, serve_family
 from .index import Index
 from .sizes import within
@@ -164,6 +165,40 @@ def terms_of(index: Index, field: str, ids: DataFrame) -> DataFrame:
     return own.select("qid", "field", "token", F.col("tf").cast("double").alias("qtf"))
 
 
+#: Columns of a hit as it is shown, in order, with their types; what isn't known of a record is null unless SHOWN_DEFAULTS has it.
+SHOWN = {
+    "id": "string", "rank": "int", "score": "double", "site": "string", "ply": "int", "url": "string", "board_fen": "string", "fen": "string",
+    "pockets_white": "map<string,int>", "pockets_black": "map<string,int>", "turn": "string", "mate_in": "int", "mate_before": "int", "solution_san": "array<string>",
+    "solution_uci": "array<string>", "engine_verified": "boolean", "text_dynamic": "array<string>", "text_static": "array<string>", "white": "string", "black": "string",
+    "white_elo": "int", "black_elo": "int", "game_rating_avg": "int", "time_control": "string", "utc_date": "string", "result": "string", "source_pgn": "string",
+    "event": "string", "delta": "double", "bestmove": "string", "pv": "array<string>", "played_move": "string",
+}
+SHOWN_DEFAULTS = {"site": "", "ply": 0, "board_fen": "", "fen": "", "turn": "white", "engine_verified": False}
+
+
+def shown(hits: DataFrame, docs: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """``hits`` joined with what is shown of their records: qid, then the columns of SHOWN.
+
+    Older names of a column stand in for it where it is null; drops in SAN get
+    their piece back; the line stands for the best move and the line ahead.
+    """
+    older = {"mate_in": ("mate_in", "mate_before"), "game_rating_avg": ("game_rating_avg", "meta_avg_rating"), "mate_before": ("mate_in", "mate_before")}
+    rows = hits.select("qid", "doc_id", "rank", F.round("score", 3).alias("score")).join(docs, F.col("doc_id") == docs[id_col])
+
+    def value(name: str) -> Column:
+        known = [F.col(c) for c in older.get(name, (name,)) if c in docs.columns]
+        default = SHOWN_DEFAULTS.get(name)
+        return F.coalesce(*known, F.lit(default)) if known else F.lit(default)
+
+    site, ply = value("site"), value("ply").cast("int")
+    san = drop_san_repaired(value("solution_san").cast("array<string>"), value("solution_uci").cast("array<string>"))
+    own = {
+        "id": F.col("doc_id"), "rank": F.col("rank"), "score": F.col("score"), "solution_san": san, "pv": san, "bestmove": F.get(san, 0), "delta": F.lit(None), "played_move": F.lit(None),
+        "url": F.when(site.contains("lichess.org"), F.concat(F.lit("https://lichess.org/"), F.substring_index(site, "/", -1), F.lit("#"), ply.cast("string"))).otherwise(""),
+    }
+    return rows.select("qid", *[(own[name] if name in own else value(name)).cast(kind).alias(name) for name, kind in SHOWN.items()])
+
+
 def matched(hits: DataFrame, levels: list[tuple[str, Column]], by: str = "qid") -> DataFrame:
     """Per query the best hit by a cascade of conditions: the first that any hit fulfils, then the best rank."""
     level, name = F.lit(None).cast("int"), F.lit(None).cast("string")

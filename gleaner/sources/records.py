@@ -58,6 +58,11 @@ def parquet_columns(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return spark.read.parquet(path).select(*columns)
 
 
+def matrix_rows(spark: SparkSession, path: str, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of a saved matrix whose key is among ``ids``: (key, features)."""
+    return spark.read.parquet(path).join(ids.select(key).distinct(), key, "left_semi")
+
+
 def aliased(df: DataFrame, name: str) -> Column:
     """The first of a value's names that ``df`` has and that isn't null."""
     present = [F.col(c) for c in ALIASES[name] if c in df.columns]

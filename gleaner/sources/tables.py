@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's checkpoint folder.
+
+    Where none is set, one is made if all runs on one machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+    return (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``folder``/``name``.parquet, its zone-less timestamps as timestamps, which watermarks need."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
