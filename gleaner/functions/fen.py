@@ -117,10 +117,21 @@ def material(fen: Column) -> Column:
     return F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.coalesce(F.element_at(value, c), F.lit(0.0)))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` written and worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _of_king(fen: Column, turn_value: Column, then) -> Column:
+    """``then`` of a struct: the board's squares, whether white moves, and where (from 0) the king of the other side stands, -1 without one."""
+    seen = F.struct(squares(fen).alias("board"), (side_to_move(fen, turn_value) == "w").alias("white"))
+    placed = lambda x: F.struct(x["board"], x["white"], (F.instr(x["board"], F.when(x["white"], "k").otherwise("K")) - 1).alias("at"))
+    return _let(seen, lambda x: _let(placed(x), then))
+
+
 def mated_king(fen: Column, turn_value: Column) -> Column:
     """Position in ``squares`` (from 1) of the king of the side not to move; 0 without one."""
-    king = F.when(side_to_move(fen, turn_value) == "w", "k").otherwise("K")
-    return F.when(squares(fen) == "", F.lit(0)).otherwise(F.instr(squares(fen), king))
+    return _of_king(fen, turn_value, lambda x: x["at"] + 1)
 
 
 def side_to_move(fen: Column, turn_value: Column) -> Column:
@@ -130,36 +141,39 @@ def side_to_move(fen: Column, turn_value: Column) -> Column:
     return F.when(F.when(own != "", own).otherwise(second).startswith("w"), "w").otherwise("b")
 
 
+def _around(x: Column) -> Column:
+    """The eight characters around the king of ``_of_king``; null without one."""
+    file, rank = x["at"] % 8, 7 - F.floor(x["at"] / 8)
+    return F.when(x["at"] >= 0, F.array(*[piece_at(x["board"], file + df, rank + dr) for dr in (1, 0, -1) for df in (-1, 0, 1) if df or dr]))
+
+
 def around_king(fen: Column, turn_value: Column) -> Column:
     """The eight characters around the mated king, ``#`` off the board; null without a king."""
-    at = mated_king(fen, turn_value) - 1
-    file, rank = at % 8, 7 - F.floor(at / 8)
-    board = squares(fen)
-    cells = [piece_at(board, file + df, rank + dr) for dr in (1, 0, -1) for df in (-1, 0, 1) if df or dr]
-    return F.when(at >= 0, F.array(*cells))
+    return _of_king(fen, turn_value, _around)
 
 
 def king_box(fen: Column, turn_value: Column) -> Column:
     """own_adj and empty_adj (0: up to 1, 1: up to 3, 2: more), edge, corner of the mated king; empty map without one."""
-    around = around_king(fen, turn_value)
-    at = mated_king(fen, turn_value) - 1
-    file, rank = at % 8, 7 - F.floor(at / 8)
-    upper = side_to_move(fen, turn_value) != "w"
-    own = F.size(F.filter(around, lambda c: F.when(upper, c.rlike("^[A-Z]$")).otherwise(c.rlike("^[a-z]$"))))
-    empty = F.size(F.filter(around, lambda c: c == "."))
     bucket = lambda n: F.when(n <= 1, 0).when(n <= 3, 1).otherwise(2)
-    edge_f, edge_r = file.isin(0, 7), rank.isin(0, 7)
-    box = F.create_map(
-        F.lit("own_adj"), bucket(own), F.lit("empty_adj"), bucket(empty),
-        F.lit("edge"), (edge_f | edge_r).cast("int"), F.lit("corner"), (edge_f & edge_r).cast("int"),
-    )
-    return F.when(at >= 0, box).otherwise(F.create_map().cast("map<string,int>"))
+
+    def box(x: Column) -> Column:
+        edge_f, edge_r = (x["at"] % 8).isin(0, 7), F.floor(x["at"] / 8).isin(0, 7)
+
+        def counted(around: Column) -> Column:
+            own = F.filter(around, lambda c: F.when(x["white"], c.rlike("^[a-z]$")).otherwise(c.rlike("^[A-Z]$")))
+            return F.create_map(
+                F.lit("own_adj"), bucket(F.size(own)), F.lit("empty_adj"), bucket(F.size(F.filter(around, lambda c: c == "."))),
+                F.lit("edge"), (edge_f | edge_r).cast("int"), F.lit("corner"), (edge_f & edge_r).cast("int"),
+            )
+
+        return F.when(x["at"] >= 0, _let(_around(x), counted)).otherwise(F.create_map().cast("map<string,int>"))
+
+    return _of_king(fen, turn_value, box)
 
 
 def king_shelter(fen: Column, turn_value: Column) -> Column:
     """Pawns of the mated king's side next to it; null without a king."""
-    pawn = F.when(side_to_move(fen, turn_value) == "w", "p").otherwise("P")
-    return F.size(F.filter(around_king(fen, turn_value), lambda c: c == pawn))
+    return _of_king(fen, turn_value, lambda x: F.size(F.filter(_around(x), lambda c: c == F.when(x["white"], "p").otherwise("P"))))
 
 
 def zone(square: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import boards, evaluation, learning, puzzles, records, relational, retrieval, similarity
+from . import boards, evaluation, learning, pair_features, puzzles, records, relational, retrieval, similarity
 
-MODULES = (retrieval, similarity, evaluation, relational, boards, learning, puzzles, records)
+MODULES = (retrieval, similarity, evaluation, relational, boards, learning, puzzles, records, pair_features)
 
 
 def catalogue() -> dict:
