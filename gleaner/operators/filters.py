@@ -69,8 +69,26 @@ def other_positions(hits: DataFrame, fen: Column, query_fen: Column) -> DataFram
 
 
 def from_offset(df: DataFrame, order: list[Column], start: int) -> DataFrame:
-    """Without the first ``start`` rows in ``order``."""
-    return df.orderBy(*order).offset(start)
+    """Without the first ``start`` rows in ``order``, which must tell rows apart.
+
+    Only the first rows are sorted, to find where they end; no row goes
+    through a global order.
+    """
+    if start <= 0:
+        return df
+    place = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
+    kind = df.select(place.alias("p")).schema["p"].dataType
+    row = df.select(place.alias("p")).orderBy("p").limit(start).agg(F.max("p").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    if row.n < start:
+        return df.limit(0)
+    return df.filter(place > F.struct(*[F.lit(row.last[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields]))
+
+
+def unfinished(df: DataFrame, fen: str = "fen") -> DataFrame:
+    """Positions in which the side to move has a move; those that can't be read go."""
+    from ..replay.udf import has_move
+
+    return df.filter(has_move(F.col(fen)))
 
 
 def judged(df: DataFrame, *texts: str) -> DataFrame:

@@ -43,8 +43,8 @@ def looked_up(df: DataFrame, side: DataFrame, keys: list[Column], side_keys: lis
 
 
 def patched(df: DataFrame, side: DataFrame, key: str, column: str, repaired: Column) -> DataFrame:
-    """``column`` from ``side`` where it has the key, else ``repaired``; patched_from says which."""
-    right = side.select(key, F.col(column).alias("__new")).groupBy(key).agg(F.first("__new", ignorenulls=True).alias("__new"))
+    """``column`` from ``side`` where it has the key, else ``repaired``; patched_from says which. Of repeated keys the least value counts."""
+    right = side.select(key, F.col(column).alias("__new")).groupBy(key).agg(F.min("__new").alias("__new"))
     joined = df.join(right, key, "left")
     return joined.withColumn("patched_from", F.when(F.col("__new").isNotNull(), "corpus").otherwise("repair")).withColumn(
         column, F.coalesce("__new", repaired)

@@ -55,13 +55,13 @@ def components_for(explained: np.ndarray, share: float = 0.95) -> int:
     return int(min(len(total), np.searchsorted(total, share * total[-1]) + 1))
 
 
-def cluster(df: DataFrame, key: str, k: int = 10, elbow: tuple[int, ...] = (), share: float = 0.95, seed: int = 42) -> Clusters:
-    """Scale, reduce to the components that explain ``share``, and cluster, fitted on a hashed sample.
+def cluster(df: DataFrame, key: str, k: int = 10, elbow: tuple[int, ...] = (), share: float = 0.95, seed: int = 42, fit_rows: int = FIT_ROWS) -> Clusters:
+    """Scale, reduce to the components that explain ``share``, and cluster, fitted on a hashed sample of ``fit_rows``.
 
     The scaler divides by the sample's standard deviation. The silhouette is
     of squared Euclidean distances.
     """
-    fit = seeded_sample(df, key, FIT_ROWS, seed).persist()
+    fit = seeded_sample(df, key, fit_rows, seed).persist()
     try:
         scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled").fit(fit)
         scaled = scaler.transform(fit)
@@ -79,25 +79,25 @@ def cluster(df: DataFrame, key: str, k: int = 10, elbow: tuple[int, ...] = (), s
         fit.unpersist()
 
 
-def neighbour_pairs(df: DataFrame, key: str, group: str, vector: str, per_row: int = 2, seed: int = 42) -> DataFrame:
+def neighbour_pairs(df: DataFrame, key: str, group: str, vector: str, per_row: int = 2, seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Labelled pairs, a bounded number per row: followers in hashed order within the group, and across groups.
 
     (a, b, label, pair): label 1 within a group, 0 across; pair is the
-    difference vector. Rows stand in a hashed order, within slices of which
-    each meets the next few, so no group is paired with itself whole.
+    difference vector. Rows stand in a hashed order, within slices of about
+    ``slice_rows`` of which each meets the next few, so no group is paired
+    with itself whole. Only ids are sorted; vectors are joined to the pairs.
     """
-    rows = df.select(F.col(key).alias("a"), F.col(group).alias("g"), F.col(vector).alias("x")).withColumn("h", hash_order(F.col("a"), seed=seed))
-    slices = max(1, rows.count() // SLICE_ROWS)
-    sliced = rows.withColumn("slice", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % slices)
-    out = None
-    for label, keys in ((1, ["slice", "g"]), (0, ["slice"])):
-        w = Window.partitionBy(*keys).orderBy("h", "a")
-        for n in range(1, per_row + 1):
-            nxt = lambda c, n=n, w=w: F.lead(c, n).over(w)
-            pairs = sliced.select("a", "g", "x", nxt("a").alias("b"), nxt("g").alias("g2"), nxt("x").alias("y")).filter("b is not null")
-            pairs = pairs.filter("g = g2" if label else "g <> g2").select("a", "b", F.lit(label).alias("label"), difference_vector(F.col("x"), F.col("y")).alias("pair"))
-            out = pairs if out is None else out.unionByName(pairs)
-    return out
+    rows = df.select(F.col(key).alias("a"), F.col(group).alias("g"), F.col(vector).alias("x"))
+    slices = max(1, rows.count() // slice_rows)
+    ids = rows.select("a", "g", hash_order(F.col("a"), seed=seed).alias("h"))
+    ids = ids.withColumn("slice", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % slices)
+    alike, near = Window.partitionBy("slice", "g").orderBy("h", "a"), Window.partitionBy("slice").orderBy("h", "a")
+    steps = range(1, per_row + 1)
+    follow = [F.struct(F.lit(1).alias("label"), F.lead("a", n).over(alike).alias("b"), F.col("g").alias("g2")) for n in steps]
+    follow += [F.struct(F.lit(0).alias("label"), F.lead("a", n).over(near).alias("b"), F.lead("g", n).over(near).alias("g2")) for n in steps]
+    pairs = ids.select("a", "g", F.array(*follow).alias("f")).select("a", "g", F.inline("f")).filter("b is not null and (label = 1 or g <> g2)").select("a", "b", "label")
+    both = pairs.join(rows.select("a", "x"), "a").join(rows.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    return both.select("a", "b", "label", difference_vector(F.col("x"), F.col("y")).alias("pair"))
 
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:

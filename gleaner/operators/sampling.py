@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+from .sizes import checked
+
 
 def hash_order(*keys: Column, seed: int = 42) -> Column:
     """md5 of seed and keys: an order that any SQL engine can repeat."""
@@ -57,26 +59,26 @@ def farthest_points(vectors: np.ndarray, n: int) -> list[int]:
     return chosen
 
 
-#: Rows of a group on which far points are sought: the traversal is sequential.
-GROUP_SAMPLE = 20_000
-
-
-def diverse(df: DataFrame, group: str, key: str, vector: str, n: int, seed: int = 42) -> DataFrame:
+def diverse(df: DataFrame, group: str, key: str, vector: str, n: int) -> DataFrame:
     """Per group a prototype and ``n`` - 1 far points: (group, key, pick).
 
-    A group larger than GROUP_SAMPLE is represented by that many of its rows
-    in hashed order.
+    Each pick is a pass over all rows: the row of each group that is farthest
+    from those picked before it, ties to the smallest key. What is joined with
+    the rows are a group's picks, ``n`` at most.
     """
-    w = Window.partitionBy(group).orderBy(hash_order(F.col(key), seed=seed))
-    rows = df.select(group, key, vector).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= GROUP_SAMPLE).drop("__n")
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key, kind="stable").reset_index(drop=True)
-        at = farthest_points(np.stack(part[vector].to_numpy()).astype(np.float64), n)
-        return pd.DataFrame({group: part[group].iloc[at].to_numpy(), key: part[key].iloc[at].to_numpy(), "pick": np.arange(len(at))})
+    from ..functions.similarity import euclidean
 
-    kinds = dict(df.dtypes)
-    return rows.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {key} {kinds[key]}, pick long")
+    scratch(df.sparkSession)
+    rows = df.select(group, key, vector)
+    picks = rows.join(medoids(df, group, key, vector).select(group, key), [group, key]).withColumn("pick", F.lit(0).cast("long")).checkpoint()
+    width = 16 + 8 * (picks.agg(F.max(F.size(vector))).first()[0] or 0)
+    for nth in range(1, n):
+        chosen = picks.groupBy(group).agg(F.collect_list(key).alias("__k"), F.collect_list(vector).alias("__v"))
+        away = F.round(F.array_min(F.transform("__v", lambda v: euclidean(F.col(vector), v))), 9)
+        left = rows.join(checked(chosen, nth * width), group).filter(~F.array_contains("__k", F.col(key)))
+        far = left.groupBy(group).agg(F.min_by(F.struct(key, vector), F.struct((-away).alias("d"), F.col(key).alias("k"))).alias("__p"))
+        picks = picks.unionByName(far.select(group, "__p.*", F.lit(nth).cast("long").alias("pick"))).checkpoint()
+    return picks.drop(vector)
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -213,6 +213,18 @@ def farthest_point_selection(spark: SparkSession, sf: str) -> DataFrame:
     return sa.diverse(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 5)
 
 
+def _farthest_sql(n: int) -> str:
+    """A pick after the other: the least distance to those before it, the largest of these."""
+    away = "round(sqrt(list_sum(list_transform(range(1, len(x.embedding) + 1), lambda i: (x.embedding[i] - p.embedding[i])::double * (x.embedding[i] - p.embedding[i])::double))), 9)"
+    parts = [f"p0 as (select e.label, e.vec_id, e.embedding, 0 as pick from embeddings e join ({MEDOID}) m using (label, vec_id))"]
+    for k in range(1, n):
+        parts.append(f"""p{k} as (select label, vec_id, embedding, pick from p{k - 1} union all select label, vec_id, embedding, {k} from (
+  select *, row_number() over (partition by label order by d desc, vec_id) as nth from (
+    select x.label, x.vec_id, x.embedding, min({away}) as d from embeddings x join p{k - 1} p on p.label = x.label
+    where not exists (select 1 from p{k - 1} y where y.label = x.label and y.vec_id = x.vec_id) group by all)) where nth = 1)""")
+    return f"with {', '.join(parts)} select label, vec_id, cast(pick as bigint) as pick from p{n - 1}"
+
+
 def prototype_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Per label the vector nearest to the mean."""
     return rounded(sa.medoids(table(spark, sf, "embeddings"), "label", "vec_id", "embedding"), "distance")
@@ -235,6 +247,6 @@ QUERIES = {
     "largest_remainder_quota": (largest_remainder_quota, QUOTA),
     "stratified_query_sample": (stratified_query_sample, STRATIFIED),
     "query_selection": (query_selection, SELECTION),
-    "farthest_point_selection": (farthest_point_selection, None),
+    "farthest_point_selection": (farthest_point_selection, _farthest_sql(5)),
     "prototype_selection": (prototype_selection, MEDOID),
 }

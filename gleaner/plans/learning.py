@@ -27,7 +27,11 @@ def weak_label_classifier(spark: SparkSession, sf: str) -> DataFrame:
     pairs = learn.neighbour_pairs(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
     rows = learn.vectors(pairs, "pair")
     train, test = learn.split(rows, F.concat_ws("|", "a", "b"))
-    scores = learn.quality(learn.probability(learn.train(train, "rf"), test).persist())
+    judged = learn.probability(learn.train(train, "rf"), test).persist()
+    try:
+        scores = learn.quality(judged)
+    finally:
+        judged.unpersist()
     return spark.createDataFrame(sorted(scores.items()), "metric string, value double")
 
 

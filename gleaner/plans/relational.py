@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as v
-from ..operators import keys
+from ..operators import features, filters, keys
 from ..sources.tables import table
 from .retrieval import rounded
 
@@ -49,9 +49,9 @@ def semi_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedup_first_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    """Of documents with the same text the one with the smallest id."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return keys.first_by_key(docs, ["text"], [F.col("doc_id")]).select("doc_id", "source")
+    """Of documents with the same text the one with the smallest id; texts meet by their digests."""
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), "source")
+    return keys.first_by_key(docs, ["digest"], [F.col("doc_id")]).select("doc_id", "source")
 
 
 def last_row_wins(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,24 +93,47 @@ def inverse_scale(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(elements(spark, sf).groupBy("i").agg(F.when(std > 0, 1 / std).otherwise(0.0).alias("scale")), "scale")
 
 
+#: Elements of a vector as features that clusters are named by, and what they are multiplied with.
+NAMED = (
+    ("DG_!F_drop", 4), ("DG_!F_drop+", 4), ("PK_total_solver", 9), ("dyn_pvLen_short", 4), ("dyn_pvLen_long", 4), ("dyn_first_check", 4), ("dyn_first_drop", 4),
+    ("dyn_dropHas_N", 3), ("dyn_dropHas_B", 3), ("dyn_dropHas_R", 3), ("dyn_dropHas_Q", 3), ("dyn_dropHas_P", 3),
+)
+
+
 def cluster_names(spark: SparkSession, sf: str) -> DataFrame:
-    """A name for each label from its three highest mean features."""
-    top = group_topk_features(spark, sf).filter("rank <= 3")
-    parts = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("f"), F.col("i").cast("string")).alias("name"))))
-    return top.groupBy("label").agg(F.array_join(F.transform(parts, lambda p: p["name"]), "-").alias("cluster_name"))
+    """A name for each label from the means of its named features."""
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("times")) for n, x in NAMED])
+    size = F.abs(F.col("x").cast("double"))
+    means = elements(spark, sf).filter(F.col("i") < len(NAMED)).groupBy("label", "i").agg(F.round(F.avg(size), 9).alias("m"))
+    named = means.withColumn("f", F.get(names, F.col("i")))
+    per = named.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct(F.col("f.name"), (F.col("m") * F.col("f.times")).alias("v")))).alias("means"))
+    return per.select("label", features.cluster_name(F.col("means")).alias("cluster_name"))
+
+
+def _names_sql() -> str:
+    m = {n: f"max(m) filter (i = {k}) * {x}" for k, (n, x) in enumerate(NAMED)}
+    check, drop = m["dyn_first_check"], m["dyn_first_drop"]
+    parts = [
+        f"case when greatest({check}, {drop}) > 0.3 then case when {check} >= {drop} then 'first:check' else 'first:drop' end end",
+        f"case when {m['DG_!F_drop']} > 0.5 then 'hasDrop' else 'noDrop' end", f"case when {m['DG_!F_drop+']} > 0.4 then 'dropCheck' end",
+        f"case when {m['PK_total_solver']} > 2 then 'pocket>' || printf('%.1f', {m['PK_total_solver']}) when {m['PK_total_solver']} < 0.5 then 'emptyPocket' end",
+        f"case when {m['dyn_pvLen_short']} > 0.5 then 'shortMate' when {m['dyn_pvLen_long']} > 0.4 then 'longMate' end",
+        *[f"case when {m[f'dyn_dropHas_{p}']} > 0.4 then 'drops{p}' end" for p in "NBRQP"],
+    ]
+    return f"with {ELEMENTS}, a as (select label, i, round(avg(abs(x::double)), 9) as m from x group by all) select label, concat_ws(' | ', {', '.join(parts)}) as cluster_name from a group by label"
 
 
 def swing_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """Steps of a user's value whose sum of before and after reaches 50."""
+    """Steps of a user's value whose sum of now and then reaches 50, among a user's first events; every seventh is a mate."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").withColumn("before", F.lag("value").over(w))
-    return rounded(
-        rows.withColumn("delta", F.col("before") + F.col("value")).filter("delta >= 50").select("event_id", "user_id", "delta"), "delta"
-    )
+    rows = table(spark, sf, "events").withColumn("ply", F.row_number().over(w))
+    rows = rows.withColumns({"cp": F.when(F.col("event_id") % 7 > 0, F.col("value")), "mate": F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, 3).otherwise(-2))})
+    return rounded(filters.swings(rows, "user_id", 50.0).select("event_id", "user_id", "delta"), "delta")
 
 
-SWING = """select event_id, user_id, round(delta, 6) as delta from (
-select event_id, user_id, lag(value) over (partition by user_id order by ts, event_id) + value as delta from events) where delta >= 50"""
+SWING = f"""select event_id, user_id, round(s + t, 6) as delta from (select *, lead(s) over w as t, row_number() over w as ply from (
+  select *, case when event_id % 7 > 0 then value when event_id % 2 = 0 then 100000 else -100000 end as s from events) window w as (partition by user_id order by ts, event_id))
+where s + t >= 50 and ply <= {filters.MOST_PLIES}"""
 
 
 def clip_and_ordinal(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +246,7 @@ QUERIES = {
     "cluster_means": (cluster_means, f"with {ELEMENTS} select label, cast(i as int) as i, round(avg(x::double), 6) as mean, count(*) as n from x group by label, i"),
     "group_topk_features": (group_topk_features, TOP_FEATURES),
     "inverse_scale": (inverse_scale, f"with {ELEMENTS} select cast(i as int) as i, round(case when round(stddev_pop(x::double), 9) > 0 then 1 / round(stddev_pop(x::double), 9) else 0 end, 6) as scale from x group by i"),
-    "cluster_names": (cluster_names, f"with t as ({TOP_FEATURES}) select label, string_agg('f' || i, '-' order by rank) as cluster_name from t where rank <= 3 group by 1"),
+    "cluster_names": (cluster_names, _names_sql()),
     "swing_threshold": (swing_threshold, SWING),
     "clip_and_ordinal": (clip_and_ordinal, CLIP),
     "json_props_parse": (json_props_parse, "select event_id, nullif(greatest(cast(json_extract(props, '$.k') as int), 0), 0) as k from events"),

@@ -77,6 +77,13 @@ def _board(fen: str | None) -> Board | None:
         return None
 
 
+@F.pandas_udf(T.BooleanType())
+def has_move(fens: pd.Series) -> pd.Series:
+    """Whether the position can be read and its game goes on."""
+    boards = map(_board, fens)
+    return pd.Series([b is not None and next(b.legal(), None) is not None for b in boards], dtype="bool")
+
+
 @F.pandas_udf(STATS)
 def line_stats(fens: pd.Series, solutions: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([lines.line_stats(_board(f), list(s) if s is not None else []) for f, s in zip(fens, solutions)])

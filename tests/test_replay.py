@@ -211,3 +211,50 @@ def test_corpus_of_puzzles(spark):
     assert r.solution_san[-1] == "Nd6#" and r.text_all["dyn:hasMate"] == 3 and r.text_all["pv:mate"] == 2 and set(r.text_motif) <= set(r.text_dynamic)
     assert spark.createDataFrame([(r.fen,)], "f string").select(fn.is_valid(F.col("f")).alias("v")).first().v
     assert all(t for t in r.text_static) and spark.createDataFrame([(r.text_static,)], "t array<string>").select(F.size(tx.of_family(F.col("t"), "relation")).alias("n")).first().n > 10
+
+
+STUB = """#!{python}
+import sys
+for line in sys.stdin:
+    word = line.split()[:1]
+    if word == ["uci"]:
+        print("id name stub\\nuciok", flush=True)
+    elif word == ["isready"]:
+        print("readyok", flush=True)
+    elif word == ["position"]:
+        fen = line.split("fen ")[1]
+    elif word == ["go"]:
+        if "4k3/8" in fen:
+            sys.exit(3)
+        kind = "mate 1" if fen.startswith("6k1/5ppp") else "cp -31"
+        print("info depth 1 score cp 5 pv a1a2\\ninfo depth 9 score " + kind + " pv a1a8\\nbestmove a1a8", flush=True)
+    elif word == ["quit"]:
+        break
+"""
+
+
+def test_uci_engine_over_a_stub_process(spark, tmp_path):
+    import sys
+
+    from gleaner.replay import udf
+
+    binary = tmp_path / "engine"
+    binary.write_text(STUB.replace("{python}", sys.executable))
+    binary.chmod(0o755)
+    back_rank, quiet, broken = "6k1/5ppp/8/8/8/8/8/R5K1[] w - - 0 1", "6k1/8/8/8/8/8/8/R5K1[] w - - 0 1", "4k3/8/8/8/8/8/8/R5K1[] w - - 0 1"
+    engine = udf.UciEngine(str(binary), {"Threads": 1}, movetime_ms=10)
+    assert engine.analyse(back_rank) == {"cp": None, "mate": 1, "pv": ["a1a8"]} and engine.find_mate(back_rank) == ["a1a8"]
+    assert engine.analyse(quiet) == {"cp": -31, "mate": None, "pv": ["a1a8"]} and engine.find_mate(quiet) is None
+    engine.close()
+    assert engine.process.returncode == 0
+    puzzles = spark.createDataFrame([("p1", back_rank), ("p2", quiet), ("p3", broken), ("p4", back_rank)], "event_id string, fen string").coalesce(1)
+    found = {r.event_id: (r.solution_uci, r.solution_san) for r in udf.verified(puzzles, lambda: udf.UciEngine(str(binary)), plies=1).collect()}
+    assert found == {"p1": (["a1a8"], ["Ra8#"]), "p4": (["a1a8"], ["Ra8#"])}
+
+
+def test_finished_positions_are_left_out(spark):
+    from gleaner.operators import filters
+
+    fens = ["6k1/5ppp/8/8/8/8/8/R5K1[] w - - 0 1", "R5k1/5ppp/8/8/8/8/8/6K1[] b - - 0 1", "7k/5Q2/6K1/8/8/8/8/8[] b - - 0 1", "nonsense", None]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(fens)], "i int, fen string")
+    assert [r.i for r in filters.unfinished(rows).collect()] == [0]
