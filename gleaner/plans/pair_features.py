@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import pairs
+from ..operators import features, pairs
 from ..sources.tables import table
 from .records import MOVES, square
 
@@ -197,4 +197,59 @@ p as (select c.k, q, c from r as q join r as c on c.k = q.k + 1)"""
     return f"{record}\nselect k, " + ",\n".join(f"round(cast({x} as double), 6) as {n}" for n, x in out.items()) + " from p"
 
 
-QUERIES = {"pair_features": (pair_features, _sql())}
+#: More tokens, of what features are named by.
+NAMED_TOKENS = (
+    ("static", f"{letter('wb', 'a')} || 'pocket:' || {letter('QRBNP', 'b')}", "c % 2 = 0"), ("static", f"{letter('Qn', 'a')} || {letter('<=', 'b')} || {letter('pR', 'c')} || {square('a')}", "true"),
+    ("static", f"case when c % 3 = 0 then chr(39) else '' end || {letter('IfLs', 'd')} || {square('b')}", "true"), ("static", f"{letter('Ww', 'd')} || '[' || {square('a')} || '/' || {square('b')} || ']'", "c % 3 = 0"),
+    ("static", f"{letter('Pp', 'c')} || '(' || cast(a % 4 as varchar(2)) || ')'", "true"), ("dynamic", f"'pv:dropSq:' || {square('b')}", "c < 3"),
+    ("dynamic", f"'dyn:capPieceTotal:' || {letter('QRB', 'a')} || cast(b % 4 as varchar(2))", "c % 2 = 0"), ("dynamic", f"'sum:pocketGain:' || {letter('NP', 'b')} || cast(a % 3 as varchar(2))", "c % 2 = 1"),
+    ("dynamic", choice("a", "dyn:hasMate", "dyn:hasDrop", "pv:drop", "dyn:oppCaptures", "pv:mate", "sum:hasSacrifice"), "true"), ("dynamic", f"'dyn:drops:' || {choice('b', '0', '1', '2', '3plus')}", "n = 1"),
+    ("dynamic", f"'dyn:pvLen:' || {choice('d', 'short', 'med', 'long')}", "n = 2"),
+)
+
+
+def token_features(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, feature, value) of every order's tokens."""
+    rows = spark.sql(LINE.format(lineitem="{lineitem}"), lineitem=table(spark, sf, "lineitem"))
+    token = F.array(*[F.when(F.expr(when), F.struct(F.lit(part).alias("part"), F.expr(text).alias("token"))) for part, text, when in (*TOKENS, *NAMED_TOKENS)])
+    per = rows.select("k", F.filter(token, lambda t: t.isNotNull()).alias("t")).groupBy("k").agg(F.flatten(F.collect_list("t")).alias("t"))
+    of = lambda name: F.transform(F.filter("t", lambda t: t["part"] == name), lambda t: t["token"])
+    out = features.long_features(per.select("k", of("static").alias("s"), of("dynamic").alias("d")), "k", "s", "d")
+    return out.withColumn("value", F.round("value", 6))
+
+
+def _token_sql() -> str:
+    tokens = " union all ".join(f"select k, '{part}' as part, {text} as token from lines where {when}" for part, text, when in (*TOKENS, *NAMED_TOKENS))
+    case = lambda x: f"case when {x} = upper({x}) then 'white' else 'black' end"
+    side = "case when token like 'w%' then 'white' else 'black' end"
+    first = "substr(token, 1, 1)"
+    mark = "substr(ltrim(token, chr(39)), 1, 1)"
+    # (condition, feature, value, whether values add up)
+    static = [
+        ("regexp_matches(token, '^[wb][KQRBNPkqrbnp]@[a-h][1-8]')", f"{side} || '_' || lower(substr(token, 2, 1)) || '_count'", "1", True),
+        ("regexp_matches(token, '^[wb][Kk]@[a-h][1-8]')", f"{side} || '_king_rank'", "cast(substr(token, 5, 1) as double)", False),
+        ("regexp_matches(token, '^[wb][Kk]@[a-h][1-8]')", f"{side} || '_king_file'", "ascii(substr(token, 4, 1)) - 96", False),
+        ("regexp_matches(token, '^[wb]pocket:[QRBNP]$')", f"'PK_' || {side} || '_' || token[-1]", "1", True),
+        ("regexp_matches(token, '^[A-Za-z][<>=][A-Za-z][a-h][1-8]$')", f"{case(first)} || case substr(token, 2, 1) when '>' then '_attacks' when '<' then '_defends' else '_xrays' end", "1", True),
+        (
+            "regexp_matches(token, '^\\x27?[IiFfLlSs][a-h][1-8]$')",
+            f"{case(mark)} || case when ascii(token) = 39 then '_protected_' else '_' end || case upper({mark}) when 'I' then 'isolated' when 'F' then 'passed' when 'L' then 'backward' else 'doubled' end", "1", True,
+        ),
+        ("regexp_matches(token, '^[Ww]\\[')", f"{case(first)} || '_pawn_chain'", "len(string_split(token, '/'))", True),
+        ("regexp_matches(token, '^[Pp]\\([0-9]+\\)$')", f"{case(first)} || '_pawn_islands'", "cast(regexp_extract(token, '[0-9]+') as double)", False),
+    ]
+    starts = lambda p: f"starts_with(token, '{p}')"
+    dynamic = [(f"token = '{t}'", f"'{f}'", "1", False) for t, f in features.FLAGS.items()]
+    dynamic += [(starts(p), f"'{f}' || substr(token, {len(p) + 1})", "1", False) for p, f in features.PREFIXES.items()]
+    dynamic += [(starts("dyn:mateDrop:"), "'DG_!F_mateByDrop'", "1", False), (starts("dyn:dropPieces:"), "'dyn_dropHas_' || unnest(string_split(substr(token, 16), ''))", "1", False)]
+    dynamic += [(starts(p), f"'{f}' || substr(token, {len(p) + 1}, 1)", f"cast(substr(token, {len(p) + 2}, 1) as double)", True) for p, f in features.COUNTED.items()]
+    zone = "case when token[-1] in ('1', '8') then 'back_rank' when token[-2] between 'e' and 'h' then 'kingside' else 'queenside' end"
+    dynamic.append((starts("pv:dropSq:"), f"'DS_!drop_sq_zone_' || {zone}", "1", False))
+    rows = [f"select k, {f} as feature, cast({v} as double) as value, {str(s).lower()} as summed from st where {c}" for c, f, v, s in static]
+    rows += [f"select k, {f}, cast({v} as double), {str(s).lower()} from dy where {c}" for c, f, v, s in dynamic]
+    return f"""with mv as ({LINE.format(lineitem="lineitem")}), lines as (select * from mv), tok as ({tokens}),
+st as (select * from tok where part = 'static'), dy as (select distinct * from tok where part = 'dynamic'), x as ({" union all ".join(rows)})
+select k, feature, round(case when bool_or(summed) then sum(value) else max(value) end, 6) as value from x group by all"""
+
+
+QUERIES = {"pair_features": (pair_features, _sql()), "token_features": (token_features, _token_sql())}

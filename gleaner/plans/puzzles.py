@@ -138,7 +138,36 @@ select pos_id, round(score, 6) as score, cast(round(score, 6) >= 0.63 as int) as
 
 def board_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Named features of every synthetic position, in long form."""
-    return fens(spark, sf).select("pos_id", F.explode(features.board_features(F.col("fen"))).alias("feature", "value"))
+    found = fens(spark, sf).select("pos_id", F.explode(features.board_features(F.col("fen"))).alias("feature", "value"))
+    return rounded(found, "value")
+
+
+def _board_sql() -> str:
+    """The same by sides: pieces and pawns counted as rows. These positions have no kings and no pockets."""
+    value = {"Q": 9, "R": 5, "B": 3, "N": 3, "P": 1}
+    count = {p: f"count(*) filter (upper(piece) = '{p}')" for p in "KQRBNP"}
+    pawn = "filter (upper(piece) = 'P')"
+    total, material = " + ".join(count.values()), " + ".join(f"{x} * {count[p]}" for p, x in value.items())
+    own = {f"{p}_count": count[p] for p in "KQRBNP"} | {f"pocket_{p}": "0" for p in "QRBNP"} | {
+        "pawn_count": count["P"], "doubled_pawns": f"{count['P']} - count(distinct f) {pawn}", "isolated_pawns": "count(*) filter (upper(piece) = 'P' and not beside)",
+        "passed_pawns": "count(*) filter (upper(piece) = 'P' and not stopped)", "pawn_advancement": f"coalesce(sum(case when white then r + 1 else 8 - r end) {pawn}, 0) / greatest({count['P']}, 1)",
+        "pawn_spread": f"coalesce(max(f) {pawn} - min(f) {pawn}, 0)", "pawn_center": "count(*) filter (upper(piece) = 'P' and f in (3, 4))", "total_pieces": total, "pocket_total": "0",
+        "material": material, "pocket_material": "0",
+    }
+    listed = ", ".join(f"{{'feature': side || '_{n}', 'value': cast({n} as double)}}" for n in own)
+    return f"""with {BASE}, sides as (select d.pos_id, s.white from (select distinct pos_id from p) d, (values (true), (false)) as s(white)),
+x as (select s.pos_id, s.white, n.piece, n.f, n.r,
+  exists (select 1 from n y where y.pos_id = n.pos_id and y.piece = n.piece and abs(y.f - n.f) = 1) as beside,
+  exists (select 1 from n y where y.pos_id = n.pos_id and upper(y.piece) = 'P' and y.white <> n.white and abs(y.f - n.f) <= 1 and (y.r - n.r) * case when n.white then 1 else -1 end > 0) as stopped
+  from sides s left join n on n.pos_id = s.pos_id and n.white = s.white),
+w as (select pos_id, case when white then 'w' else 'b' end as side, {", ".join(f"{x} as {n}" for n, x in own.items())} from x group by pos_id, white),
+tension as (select a.pos_id, count(*) as t from n a join n b on b.pos_id = a.pos_id and a.piece = 'P' and b.piece = 'p' and abs(a.f - b.f) = 1 and b.r = a.r + 1 group by 1),
+every as (select pos_id, unnest([{listed}], recursive := true) from w
+union all select pos_id, 'total_pieces_on_board', cast(sum(total_pieces) as double) from w group by pos_id
+union all select pos_id, 'total_pawns', cast(sum(pawn_count) as double) from w group by pos_id
+union all select pos_id, 'material_balance', cast(sum(case side when 'w' then material else -material end) as double) from w group by pos_id
+union all select distinct w.pos_id, 'pawn_tension', cast(coalesce(t, 0) as double) from w left join tension on tension.pos_id = w.pos_id)
+select pos_id, feature, round(value, 6) as value from every"""
 
 
 QUERIES = {
@@ -150,5 +179,5 @@ QUERIES = {
     "verified_mates": (verified_mates, None),
     "fen_text": (fen_text, _fen_sql()),
     "static_similarities": (static_similarities, _similarity_sql()),
-    "board_vectors": (board_vectors, None),
+    "board_vectors": (board_vectors, _board_sql()),
 }
