@@ -66,7 +66,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 PART = re.compile(r"[a-z]+|\d+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Piece:
     """A run of text with its block's number, the element it stands in and its kind; ``home``: within an article."""
 
@@ -77,7 +77,7 @@ class Piece:
     home: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Tag:
     name: str
     node: int
@@ -175,36 +175,36 @@ def pieces(page: str) -> tuple[list[Piece | Tag], Tree]:
 
 
 class Stack:
-    """Open elements: name, number and whether they are boilerplate; counts of open names spare searches in vain."""
+    """Open elements, as name, number and whether they are boilerplate, and what holds of the innermost one.
+
+    Counts of open names spare searches in vain.
+    """
 
     def __init__(self):
         self.items: list[tuple[str, int, bool]] = []
-        self.open: Counter = Counter()
-
-    @property
-    def node(self) -> int:
-        return self.items[-1][1] if self.items else 0
-
-    @property
-    def boiler(self) -> bool:
-        return bool(self.items) and self.items[-1][2]
+        self.open: dict[str, int] = {}
+        self.node, self.boiler, self.home = 0, False, False
 
-    @property
-    def home(self) -> bool:
-        return any(self.open[x] for x in ARTICLE)
+    def _settle(self) -> None:
+        _, self.node, self.boiler = self.items[-1] if self.items else ("", 0, False)
+        self.home = not ARTICLE.isdisjoint(self.open)
 
     def push(self, name: str, node: int, boiler: bool) -> None:
         self.items.append((name, node, boiler))
-        self.open[name] += 1
+        self.open[name] = self.open.get(name, 0) + 1
+        self._settle()
 
     def cut(self, k: int) -> None:
         for name, _, _ in self.items[k:]:
             self.open[name] -= 1
+            if not self.open[name]:
+                del self.open[name]
         del self.items[k:]
+        self._settle()
 
     def cut_at(self, names: Collection[str], stop: bool) -> None:
         """End the innermost open element of ``names``; with ``stop`` none beyond the scope."""
-        if not any(self.open[x] for x in names):
+        if not any(x in self.open for x in names):
             return
         for k in range(len(self.items) - 1, -1, -1):
             name = self.items[k][0]
