@@ -2,9 +2,9 @@
 
 ``postings`` has a row per field, token and document with its frequency and
 the document's length; ``terms`` the document frequencies; ``fields`` the
-number of documents and their mean length. A document's tokens are counted
-within its row, so that no text and no postings are shuffled, only what is
-summed over documents.
+number of documents and their mean length. For the tokens of given queries
+alone no text is shuffled, only their counts; for a whole index documents are
+shuffled once, by id, before their tokens are made.
 """
 
 from __future__ import annotations
@@ -46,17 +46,6 @@ def lengths(docs: DataFrame, fields: dict[str, Column], doc_id: str) -> DataFram
     return rows.withColumn("dl", F.size("tokens")).filter("dl > 0")
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(field, doc_id, dl, token, tf) of ``lengths``, each row for itself: its tokens in order, and where each one's run begins and ends."""
-    ordered = rows.select("field", "doc_id", "dl", F.array_sort("tokens").alias("s"))
-    begins = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    runs = ordered.select("*", F.concat(begins, F.array("dl")).alias("at"))
-    one = F.transform(
-        F.slice("at", F.lit(1), F.size("at") - 1), lambda i, k: F.struct(F.get("s", i).alias("token"), (F.get("at", k + 1) - i).cast("long").alias("tf"))
-    )
-    return runs.select("field", "doc_id", "dl", F.inline(one))
-
-
 def build(docs: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id", only: DataFrame | None = None) -> Index:
     """The index of ``docs``' token arrays, one field for each. Ids must be unique.
 
@@ -65,12 +54,14 @@ def build(docs: DataFrame, fields: dict[str, Column], doc_id: str = "doc_id", on
     all tokens all the same; statistics over all terms, as one scheme wants
     them, need the whole index.
     """
-    rows = lengths(docs, fields, doc_id)
-    postings = counted(rows)
+    # Asked-for tokens are few: they are shuffled, not texts. All of them are more than the texts, which then are shuffled instead, once.
+    rows = lengths(docs if only is not None else docs.repartition(F.col(doc_id)), fields, doc_id)
+    tokens = rows.select("field", "doc_id", "dl", F.explode("tokens").alias("token"))
     if only is not None:
-        postings = postings.join(checked(only.select("field", "token").distinct(), 64), ["field", "token"], "left_semi")
+        tokens = tokens.join(checked(only.select("field", "token").distinct(), 64), ["field", "token"], "left_semi")
+    postings = tokens.groupBy("field", "token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return Index(
-        postings.select("field", "token", "doc_id", "dl", "tf"),
+        postings,
         postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df")),
         rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")),
     )
