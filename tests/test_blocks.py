@@ -61,7 +61,7 @@ def test_groups_are_kept_apart(spark):
 
 
 #: Queries of every fiftieth row against all rows.
-MANY = ["bm25_topk", "recall_diagnosis", "bm25_okapi_topk", "bm25_family_weighted", "bm25_group_exclusion", "field_comparison", "retrieve_by_id", "rrf_two_fields", "recall_diagnosis_totals", "tri_state_match", "position_cascade", "recall_mrr_p_at_k"]
+MANY = ["bm25_topk", "recall_diagnosis", "bm25_okapi_topk", "bm25_family_weighted", "bm25_group_exclusion", "field_comparison", "retrieve_by_id", "rrf_two_fields", "recall_diagnosis_totals", "tri_state_match", "position_cascade", "recall_mrr_p_at_k", "jaccard_pairs"]
 
 
 @pytest.mark.parametrize("name", MANY)
@@ -69,3 +69,10 @@ def test_no_table_of_pairs(spark, name):
     """Neither postings nor pairs of query and document are grouped, which shuffles them."""
     text = plan_of(plans.catalogue()[name][0](spark, FOLDER))
     assert "MapInArrow" in text and not re.search(r"keys=\[(qid#\w+, )?field#\w+, (token#\w+, )?doc_id#", text)
+
+
+@pytest.mark.parametrize("name", ["jaccard_pairs"])
+def test_texts_stay_where_they_are(spark, name):
+    """Hits go to the documents: no text is dealt out by its id."""
+    text = plan_of(plans.catalogue()[name][0](spark, FOLDER))
+    assert not [line for line in text.splitlines() if "Exchange hashpartitioning(doc_id" in line] and "BroadcastHashJoin [doc_id" in text
