@@ -61,7 +61,7 @@ def test_groups_are_kept_apart(spark):
 
 
 #: Queries of every fiftieth row against all rows.
-MANY = ["bm25_topk", "recall_diagnosis", "bm25_okapi_topk", "bm25_family_weighted", "bm25_group_exclusion", "field_comparison", "retrieve_by_id", "rrf_two_fields", "recall_diagnosis_totals", "tri_state_match", "position_cascade", "recall_mrr_p_at_k", "jaccard_pairs", "overlap_pairs", "reference_rerank"]
+MANY = ["bm25_topk", "recall_diagnosis", "bm25_okapi_topk", "bm25_family_weighted", "bm25_group_exclusion", "field_comparison", "retrieve_by_id", "rrf_two_fields", "recall_diagnosis_totals", "tri_state_match", "position_cascade", "recall_mrr_p_at_k", "jaccard_pairs", "overlap_pairs", "reference_rerank", "weighted_rerank"]
 
 
 @pytest.mark.parametrize("name", MANY)
