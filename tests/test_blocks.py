@@ -77,3 +77,27 @@ def test_texts_stay_where_they_are(spark, name):
     """Hits go to the documents: no text is dealt out by its id."""
     text = plan_of(plans.catalogue()[name][0](spark, FOLDER))
     assert not [line for line in text.splitlines() if "Exchange hashpartitioning(doc_id" in line] and "BroadcastHashJoin [doc_id" in text
+
+
+def nodes(plan):
+    yield plan
+    for n in range(plan.children().size()):
+        yield from nodes(plan.children().apply(n))
+
+
+@pytest.mark.parametrize("name", ["reference_rerank"])
+def test_tokens_are_not_shuffled(spark, name, monkeypatch):
+    """Neither windows nor shuffled joins meet tokens, even where these are beyond a broadcast's bound; then parts give the same rows."""
+    from gleaner.plans import retrieval
+
+    run, before = plans.catalogue()[name][0], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted(run(spark, FOLDER).collect())
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = run(spark, FOLDER)
+        dealt = [n for n in nodes(got._jdf.queryExecution().sparkPlan()) if n.nodeName() in ("Window", "SortMergeJoin", "Sort")]
+        assert not [n.nodeName() for n in dealt if "ArrayType" in n.schema().toString()]
+        assert want and sorted(got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
