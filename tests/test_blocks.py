@@ -85,7 +85,7 @@ def nodes(plan):
         yield from nodes(plan.children().apply(n))
 
 
-@pytest.mark.parametrize("name", ["overlap_pairs", "reference_rerank"])
+@pytest.mark.parametrize("name", ["overlap_pairs", "reference_rerank", "weighted_rerank"])
 def test_tokens_are_not_shuffled(spark, name, monkeypatch):
     """Neither windows nor shuffled joins meet tokens, even where these are beyond a broadcast's bound; then parts give the same rows."""
     from gleaner.plans import retrieval
